@@ -36,7 +36,7 @@ LOOKALIKES = str.maketrans("013457@$!|+", "oieastasiit")
 LETTERS = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"[^\W\d_][0-9@$!*#+|.\-_]+[^\W\d_]|[0-9@$!|+][^\W\d_]{2,}")
 REPEATS = re.compile(r"(.)\1{2,}")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 NAMES = ("n", "seeds", "learned", "begun", "hidden", "near", "share", "share_begun", "aimed", "capital", "shouted", "exclaimed", "asked", "punctuation", "mixed", "strength", "strongest")
 
 
