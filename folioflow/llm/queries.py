@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, pack, pieces, quality, shard, toxicity
+from . import extract, fingerprint, language, neardup, pack, pieces, quality, shard, toxicity
 from .common import table, vocabulary
 
 
@@ -15,6 +15,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"), words=2)
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_extract": op6_extract,
+    "op7_fingerprint": op7_fingerprint,
     "op8_neardup": op8_neardup,
     "op9_shard": op9_shard,
 }
