@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import pack
+from folioflow.llm import neardup, pack, quality, toxicity
 from folioflow.llm.common import saved, table, vocabulary
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold, by a model learned from the labels of these documents."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and lie within the perplexity band of their language."""
+    return quality.passing(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies: shingles of five words, similarity 0.8."""
+    return neardup.first_of_group(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 1024 tokens."""
     return pack.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_quality),
+    ("near duplicates", drop_near_copies),
+    ("packing", pack_sequences),
+]
 
+#: The stages learn models, draw signatures and pack; SQL cannot say them. A brute-force version is in tests/llm.
 ORACLE_SQL = None
 
 
@@ -24,5 +46,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = saved(docs, f"stage-{name}")
+            docs = saved(docs, f"stage-{name.replace(' ', '-')}")
     return docs

@@ -257,3 +257,10 @@ def rate(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "lang")
     return judged(saved(statistics(docs, fit(docs)), "quality"), width)
+
+
+def passing(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+    """docs, all columns, without the rows that rate() rejects. Rows of one id share a verdict: it stays if one of them passes."""
+    names = docs.columns
+    kept = rate(docs, width).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*names)

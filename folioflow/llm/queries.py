@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, fingerprint, language, neardup, pack, pieces, quality, shard, toxicity
-from .common import table, vocabulary
+from . import extract, fingerprint, language, neardup, pack, pieces, quality, rollup, shard, toxicity
+from .common import scratch_dir, table, vocabulary
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals after a history of batches, each committed twice."""
+    kept = rollup.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for batch, changes in rollup.history(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")):
+        kept.commit(batch, changes)
+        kept.commit(batch, changes)
+    return kept.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_pieces": op2_pieces,
@@ -62,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprint": op7_fingerprint,
     "op8_neardup": op8_neardup,
     "op9_shard": op9_shard,
+    "op10_rollup": op10_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
