@@ -143,8 +143,10 @@ def remap(old: DataFrame, new: DataFrame) -> DataFrame:
     Sequences of (kind, text) are aligned, a book in a group; what is left over is matched by equal text, in order.
     """
     id_type = dict(new.dtypes)["book_id"]
-    cols = ["book_id", "seg_no", "seg_id", "kind", "text"]
-    first = old.select(*cols).groupBy("book_id").cogroup(new.select(*cols).groupBy("book_id")).applyInPandas(_aligned, f"book_id {id_type}, old_id string, new_id string")
+    names = ("book_id", "seg_no", "seg_id", "kind", "text")
+    # Both may come from one table: fresh names keep their columns apart.
+    old, new = (x.select(*(F.col(c).alias(c) for c in names)) for x in (old, new))
+    first = old.groupBy("book_id").cogroup(new.groupBy("book_id")).applyInPandas(_aligned, f"book_id {id_type}, old_id string, new_id string")
     number = F.row_number().over(Window.partitionBy("book_id", "text").orderBy("seg_no"))
     rest_old = old.join(first.select("book_id", F.col("old_id").alias("seg_id")), ["book_id", "seg_id"], "left_anti").select("book_id", "text", number.alias("k"), F.col("seg_id").alias("old_id"))
     rest_new = new.join(first.select("book_id", F.col("new_id").alias("seg_id")), ["book_id", "seg_id"], "left_anti").select("book_id", "text", number.alias("k"), F.col("seg_id").alias("new_id"))

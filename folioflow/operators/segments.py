@@ -59,15 +59,20 @@ def suggest_excludes(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     )
     named = rf"(?:^|[^{C.WORD}])(?:{words})(?:$|[^{C.WORD}])|فهرس|المحتويات|目录|目次|목차"
     by_title = chapters.where(F.lower("title").rlike(named)).select("book_id", "ch_id", F.lit("title").alias("reason"))
+    counted = listed_lines(chapters, blocks).join(by_title, ["book_id", "ch_id"], "left_anti")
+    return by_title.unionByName(counted.where("n >= 8 and hits > 0.5 * n").select("book_id", "ch_id", F.lit("lines").alias("reason")))
+
+
+def listed_lines(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_id, ch_id, n, hits: blocks of text, and those that equal a chapter's title or end in a page number."""
     titles = chapters.where("title <> ''").select("book_id", T.normal_title("title").alias("norm")).distinct()
-    texts = blocks.where(F.col("type").isin(*TEXT_TYPES)).join(by_title, ["book_id", "ch_id"], "left_anti")
+    texts = blocks.where(F.col("type").isin(*TEXT_TYPES))
     bare = T.normal_title(F.regexp_replace("text", rf"[{C.DIGIT}]+[{C.WS}]*$", ""))
     d, ws = f"[{C.DIGIT}]", f"[{C.WS}]"
     listed = F.col("text").rlike(rf"(\.{{3,}}|{ws}){d}{{1,4}}{ws}*$") | F.col("text").rlike(rf"(?:\.{ws}?){{4,}}{ws}*{d}") | F.col("text").rlike(rf"^{ws}*{d}{{1,3}}\.?{ws}*$")
     hits = texts.select("book_id", "ch_id", bare.alias("norm"), listed.alias("listed")).join(titles.withColumn("titled", F.lit(True)), ["book_id", "norm"], "left")
     hit = (F.col("listed") | F.coalesce("titled", F.lit(False))).cast("int")
-    counted = hits.groupBy("book_id", "ch_id").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"))
-    return by_title.unionByName(counted.where("n >= 8 and hits > 0.5 * n").select("book_id", "ch_id", F.lit("lines").alias("reason")))
+    return hits.groupBy("book_id", "ch_id").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"))
 
 
 def show(blocks: DataFrame, ch_id: str, first: int = 0, last: int | None = None, translations: DataFrame | None = None, width: int = 160) -> DataFrame:
