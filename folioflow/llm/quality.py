@@ -145,7 +145,7 @@ class Model:
         pad = self.order - 1
         joined = "".join([START * pad + w + END for w in words])
         text = codes(joined)
-        sizes = np.array([len(w) + 1 for w in words])
+        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
         ends = np.cumsum(sizes + pad)
         owner = np.repeat(np.arange(len(words)), sizes)
         at = np.arange(sizes.sum()) + (owner + 1) * pad
@@ -242,7 +242,7 @@ def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
         (1.4826 * F.percentile_approx(F.when(F.col("n_words") < 400, F.col("off") * F.sqrt("n_words")), 0.5, 10_000)).alias("within"),
     )
     bands = middle.join(spread, "lang")
-    half = width * F.sqrt(F.coalesce("between", F.lit(0.1)) ** 2 + F.coalesce(F.col("within"), F.col("between"), F.lit(4.0)) ** 2 / F.col("n_words"))
+    half = width * F.sqrt(F.coalesce("between", F.lit(0.1)) ** 2 + F.coalesce(F.col("within"), F.lit(4.0)) ** 2 / F.greatest("n_words", F.lit(1)))
     out = stats.join(bands, "lang", "left").withColumn("half", half)
     inside = F.abs(F.col("surprise") - F.col("middle")) <= F.col("half")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))

@@ -26,16 +26,16 @@ def shuffled(records: DataFrame, seed: int = SEED, bucket_records: int = BUCKET_
     columns = [c for c in records.columns if c != "position"]
     rows = records.count()
     buckets = max(1, -(-rows // bucket_records))
-    keyed = records.select(*columns).withColumn("_key", F.xxhash64(F.lit(seed), *columns))
+    keyed = records.select(*columns).withColumn("__key", F.xxhash64(F.lit(seed), *columns))
     place = (F.spark_partition_id(), F.monotonically_increasing_id())
-    scattered = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key", *place), F.lit(buckets)))
+    scattered = keyed.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", *place), F.lit(buckets)))
     scattered = saved(scattered, "buckets")  # a lost task must not scatter copies anew
     # Sorted arrays, in sorted order within a partition, make the seeded draw the same each time.
-    gathered = scattered.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_key", *columns))).alias("_all")).sortWithinPartitions("_bucket")
-    drawn = gathered.select("_bucket", F.posexplode(F.shuffle("_all", seed)).alias("_at", "_record"))
-    sizes = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    out = drawn.join(before, "_bucket").select(*(F.col("_record")[c].alias(c) for c in columns), (F.col("_before") + F.col("_at")).alias("position"))
+    gathered = scattered.groupBy("__bucket").agg(F.array_sort(F.collect_list(F.struct("__key", *columns))).alias("__all")).sortWithinPartitions("__bucket")
+    drawn = gathered.select("__bucket", F.posexplode(F.shuffle("__all", seed)).alias("__at", "__record"))
+    sizes = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    out = drawn.join(before, "__bucket").select(*(F.col("__record")[c].alias(c) for c in columns), (F.col("__before") + F.col("__at")).alias("position"))
     return out, rows
 
 
