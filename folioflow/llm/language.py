@@ -8,7 +8,6 @@ smallest weighted loss and flags texts whose two best languages lie close togeth
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ SEED = 7
 #: A text is ambiguous if the best language's share is below this.
 SURE = 0.6
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters count as one: a space. Others keep their value.
 PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
 
@@ -132,7 +130,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = RO
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        told = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+        told = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if told:
             best, share = model.decode(np.stack([features(texts[i]) for i in told]))
