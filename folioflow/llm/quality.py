@@ -27,7 +27,9 @@ UNKNOWN = "und"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Half the width of a band, in robust standard deviations; the lower band is as wide.
-WIDTH = 7.0
+WIDTH = 5.0
+#: A word less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
+UNKNOWN_WORD = 18.0
 REMEMBERED_WORDS = 300_000
 CHUNK = 256
 
@@ -218,7 +220,7 @@ def statistics(docs: DataFrame, model: Model) -> DataFrame:
         for lang in set(langs):
             known = tables.setdefault(lang, {})
             new = list(set().union(*(w for w, x in zip(words, langs, strict=True) if x == lang)) - known.keys())
-            known.update(zip(new, lm.words(lang, new).tolist(), strict=True))
+            known.update(zip(new, np.maximum(lm.words(lang, new), -UNKNOWN_WORD).tolist(), strict=True))
         rows = []
         for doc, lang, text, ws in zip(batch.column("doc_id").to_pylist(), langs, texts, words, strict=True):
             known = tables[lang]
