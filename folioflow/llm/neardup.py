@@ -2,10 +2,11 @@
 
 Word shingles become signatures in which each element draws the places of a permutation one by one, so that places are
 correlated and the estimate varies less; drawing stops as soon as no later draw can lower a value. Bands of the signature
-name buckets. Documents with equal shingle sets are one class from the start. Within a bucket, one class after another is held
-against the bucket's members of other components, and links are confirmed on full sets; what then still lies in
-other components than most of its bucket is held against all of the bucket, so that each pair of classes that meets in a
-bucket is linked, known as connected, or refused. Components are found by alternating stars on tables, never on the driver.
+name buckets. Documents with equal shingle sets are one class from the start. Each bucket's smallest class, its centre, is held
+against the other members, and links are confirmed on full sets. Members that then still lie outside of their bucket's largest
+component are held against those members to which a link is possible at all, by what both share with the centre. So each
+pair of classes that meets in a bucket is linked, known as connected, or refused, and no group is spread into all its pairs.
+Components are found by alternating stars on tables, never on the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, saved
+from .common import BATCH_ROWS, forget, saved
 
 WORDS, SIMILARITY = 5, 0.8
 #: 40 bands of 6 values: a pair with similarity 0.8 meets in none of them with a chance of 0.000 005.
 BANDS, ROWS = 40, 6
-#: Rounds in which one class a bucket is held against the others, before the rest is compared in full.
-STAR_ROUNDS = 2
 #: Elements whose permutations are drawn together.
 ELEMENTS = 20_000
 #: Standard deviations under the similarity at which a signature's estimate rules a pair out without its texts.
@@ -133,7 +132,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = saved(small.where("a <> b").distinct().select(F.col("b").alias("a"), F.col("a").alias("b")), "small")
+        before, edges = edges, saved(small.where("a <> b").distinct().select(F.col("b").alias("a"), F.col("a").alias("b")), "small")
+        forget(before)
+        forget(large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -155,89 +156,112 @@ def _likely(pairs: DataFrame, similarity: float, values: int) -> DataFrame:
     return pairs.mapInArrow(each, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """pairs (a, b, a_text, b_text) whose full sets are similar enough."""
+def _measured(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """pairs (a, b, a_text, b_text) with the size of their full sets' intersection, whether they are linked, and what only b has."""
     percent = round(similarity * 100)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, recent = Words(), {}
         for batch in batches:
-            linked = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")), strict=True):
+            common, linked, extra = [], [], []
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "a_text", "b_text")), strict=True):
                 if a not in recent:  # centres come many times
                     if len(recent) > 50:
                         recent.clear()
                     recent[a] = shingles(x, words, known)
                 s, t = recent[a], shingles(y, words, known)
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                inside = np.isin(t, s, assume_unique=True)
+                both = int(inside.sum())
+                common.append(both)
                 linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
+                extra.append(t[~inside].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "common", "linked", "extra"]
+            )
 
-    return pairs.mapInArrow(each, "a bigint, b bigint")
+    return pairs.mapInArrow(each, "a bigint, b bigint, common bigint, linked boolean, extra array<bigint>")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b)."""
+    for end in ("a", "b"):
+        names = labels.select(F.col("node").alias(end), F.col("label").alias("_name"))
+        links = links.join(names, end, "left").withColumn(end, F.coalesce("_name", end)).drop("_name")
+    found = saved(components(links.select("a", "b")), "joined")
+    moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = found.join(labels, "node", "left_anti").select("node", "label")
+    return saved(moved.unionByName(fresh), "labels")
+
+
+def _unsettled(entries: DataFrame, measured: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that meet in a bucket, are not known as connected, and could be linked by what their centre tells.
+
+    The centre of a class is the smallest one it was measured against, or itself. What x and y of one centre c share is within c, at
+    most the smaller of |x & c| and |y & c|, or outside of it. So either that number alone is enough for a link, or both have an
+    element outside of c in common; the latter are found by these elements. Classes without a common centre are held
+    against each other.
+    """
+    percent = round(similarity * 100)
+    now = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    told = measured.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("centre"), "common")).alias("t")).select("node", "t.*")
+    rows = now.join(major.select("bucket", "major"), "bucket").join(told, "node", "left")
+    own = F.col("centre").isNull()
+    rows = rows.withColumns({"centre": F.coalesce("centre", "node"), "common": F.when(own, F.col("n_shingles")).otherwise(F.col("common"))})
+    rows = saved(rows, "unsettled")
+    second = {c: f"{c}2" for c in ("node", "n_shingles", "label", "centre", "common")}
+    outside = rows.where("label <> major")
+    right = rows.select("bucket", *(F.col(c).alias(d) for c, d in second.items()))
+    apart = F.col("label") != F.col("label2")
+    total = F.col("n_shingles") + F.col("n_shingles2")
+    near = 100 * F.least("n_shingles", "n_shingles2") >= percent * F.greatest("n_shingles", "n_shingles2")
+    enough = (F.col("centre") != F.col("centre2")) | ((100 + percent) * F.least("common", "common2") >= percent * total)
+    by_bucket = outside.join(right, "bucket").where(apart & near & enough).select("node", "node2")
+    ends = ["centre", "node", "label", "n_shingles"]
+    extra = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), "extra")
+    marks = lambda df: df.select(*ends).distinct().join(extra, ["centre", "node"]).select(*ends, F.explode("extra").alias("element"))
+    others = marks(rows).select("centre", "element", *(F.col(c).alias(second[c]) for c in ("node", "label", "n_shingles")))
+    by_element = marks(outside).join(others, ["centre", "element"]).where(apart & near).select("node", "node2")
+    pairs = by_bucket.unionByName(by_element).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return saved(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
 
 def grouped(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); class_id is the smallest id with the same set.
 
     Null and empty texts and those without words have an empty set: linked with nothing, kept. Rows with a null doc_id take no
-    part: their component is null and they are kept. Repeated rows fall into one component. An empty table gives no rows. More
-    columns are ignored. Texts are read whole; no bucket, candidate or partner is capped.
+    part: their component is null and they are kept. Repeated rows fall into one component; an id names one text. An empty table
+    gives no rows. More columns are ignored. Texts are read whole; no bucket, candidate or partner is capped.
     """
     docs = docs.select("doc_id", "text")
-    rows_ = saved(signed(docs, words, bands, rows), "signed")
-    named = rows_.where("n_shingles > 0 and doc_id is not null")
+    signed_ = saved(signed(docs, words, bands, rows), "signed")
+    named = signed_.where("n_shingles > 0 and doc_id is not null")
     classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
-    # One row for each class, by the row of its smallest id.
+    # One row for each class: that of its smallest id.
     heads = named.join(classes, "set_key").where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "n_shingles", "low", "bands")
     heads = saved(heads, "heads")
     entries = heads.select(F.col("class_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    entries = saved(entries.join(shared, "bucket"), "entries")
+    centres = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "n_shingles")).alias("c")).where("n > 1")
+    centres = saved(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size")), "centres")
+    entries = saved(entries.join(centres.select("bucket"), "bucket"), "entries")
     low = heads.select("class_id", "low")
     texts = docs.join(entries.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # Of rows with one id but different texts the class is that of any; the text must be of the same set.
     texts = saved(texts, "texts")
-    labels, tested = None, None
-    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * round(similarity * 100)
-    for round_ in range(STAR_ROUNDS + 1):
-        now = entries.select("bucket", "node", F.col("n_shingles").alias("n"))
-        if labels is None:
-            now = now.withColumn("label", F.col("node"))
-        else:
-            now = now.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            now = saved(now, "labelled")
-        sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-        most = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        if round_ < STAR_ROUNDS:
-            # The centre changes with the round: the smallest class, then one by hash among those outside the largest component.
-            by = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_))
-            others = now.join(most, "bucket")
-            centre = (others if round_ == 0 else others.where("label <> major")).groupBy("bucket").agg(F.min_by(F.struct("node", "n", "label"), by).alias("c"))
-            left = centre.select("bucket", F.col("c.node").alias("node"), F.col("c.n").alias("n"), F.col("c.label").alias("label"))
-        else:
-            left = now.join(most, "bucket").where("label <> major").select("bucket", "node", "n", "label")
-        right = now.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        pairs = left.join(right, "bucket").where((F.col("label") != F.col("label2")) & near)
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+
+    def measure(pairs: DataFrame) -> DataFrame:
         with_low = pairs.join(low.select(F.col("class_id").alias("a"), F.col("low").alias("a_low")), "a").join(low.select(F.col("class_id").alias("b"), F.col("low").alias("b_low")), "b")
         likely = _likely(with_low, similarity, bands * rows)
         with_texts = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        links = _confirmed(with_texts, words, similarity)
-        if labels is None:
-            labels = saved(components(links), "labels")
-        else:
-            names = labels.select("node", "label")
-            for end in ("a", "b"):
-                links = links.join(names.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
-            found = saved(components(links.select("a", "b")), "joined")
-            moved = names.join(found.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-            fresh = found.join(names, "node", "left_anti").select("node", "label")
-            labels = saved(moved.unionByName(fresh), "labels")
-    members = rows_.join(classes, "set_key", "left")
+        return _measured(with_texts, words, similarity)
+
+    near = 100 * F.least("n_shingles", "centre_size") >= round(similarity * 100) * F.greatest("n_shingles", "centre_size")
+    stars = entries.join(centres, "bucket").where((F.col("node") != F.col("centre")) & near).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    measured = saved(measure(stars), "measured")
+    labels = saved(components(measured.where("linked").select("a", "b")), "labels")
+    rest = measure(_unsettled(entries, measured, labels, similarity)).where("linked").select("a", "b")
+    labels = _relabelled(labels, rest)
+    members = signed_.join(classes, "set_key", "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     members = members.withColumn("class_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")))
     out = members.join(labels.select(F.col("node").alias("class_id"), F.col("label")), "class_id", "left")
@@ -252,5 +276,5 @@ def first_of_group(docs: DataFrame, **options) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*names)
     # Rows that repeat an id: the first by text stays, in one of each id; rows without an id stay.
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = kept.where("doc_id is not null").withColumn("_number", number).where("_number = 1").drop("_number")
+    once = kept.where("doc_id is not null").withColumn("__number", number).where("__number = 1").drop("__number")
     return once.unionByName(kept.where("doc_id is null"))
