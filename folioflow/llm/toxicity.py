@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_part, map_batches
+from .common import WORD, crc_part, map_batches, saved
 
 #: Bounds of the three samples of labelled rows, about, chosen by a hash of the id: toxic and other rows for the lexicon, rows
 #: for the trees, rows for the calibration.
@@ -188,13 +188,14 @@ class Model:
         return np.clip(0.999 * np.interp(raw, self.at, self.to) + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def _sampled(rows: DataFrame, counts: dict[int, int], low: float, wanted: dict[int, int]) -> DataFrame:
-    """About wanted[label] rows of each label whose hash lies from low on, in a band of its own for each use."""
+def _sampled(marks: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """doc_id, toxic, use of about as many labelled rows as the bounds allow; each use has a third of a hash's range."""
     place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    kept = F.lit(False)
+    rows, use = sum(counts.values()), F.lit(None)
     for label, n in counts.items():
-        kept |= (F.col("toxic") == label) & (place >= low) & (place < low + min(1 / 3, wanted.get(label, 0) / max(n, 1)))
-    return rows.where(kept)
+        for k, wanted in enumerate((LEXICON_TOXIC if label else LEXICON_OTHER, TREE_ROWS * n / rows, CALIBRATION_ROWS * n / rows)):
+            use = F.when((F.col("toxic") == label) & (place >= k / 3) & (place < k / 3 + min(1 / 3, wanted / n)), k).otherwise(use)
+    return marks.withColumn("use", use.cast("int")).where("use is not null")
 
 
 def learn_lexicon(rows: DataFrame, bound: int = LEXICON_UNITS) -> dict[str, float]:
@@ -240,15 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     none = Model({}, None, np.zeros(1), np.array([counts.get(1, 0) / max(rows, 1)]))
     if len(counts) < 2:
         return none
+    # The sample is bounded, so that its ids are sent to the texts, which are read once and stay where they are.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    even = lambda most: {label: most * n // rows for label, n in counts.items()}
-    part = lambda low, wanted: texts.join(_sampled(marks, counts, low, wanted), "doc_id")
-    lexicon = learn_lexicon(part(0.0, {1: LEXICON_TOXIC, 0: LEXICON_OTHER}))
-    x, y = featurized(part(1 / 3, even(TREE_ROWS)), lexicon)
+    sample = saved(texts.join(F.broadcast(_sampled(marks, counts)), "doc_id"), "labelled")
+    lexicon = learn_lexicon(sample.where("use = 0"))
+    x, y = featurized(sample.where("use = 1"), lexicon)
     if not 0 < y.sum() < len(y):
         return none
     trees = boost(x, y)
-    cx, cy = featurized(part(2 / 3, even(CALIBRATION_ROWS)), lexicon)
+    cx, cy = featurized(sample.where("use = 2"), lexicon)
     if not 0 < cy.sum() < len(cy):
         cx, cy = x, y
     return Model(lexicon, trees, *isotonic(trees.raw(cx), cy))
