@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -34,22 +35,23 @@ TOLD_BY = 12
 HELD_TERMS, BLOCK_ROWS = 400_000, 2000
 MOST_RANGES = 100_000
 REMEMBERED_TERMS = 300_000
-SPACES = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: ASCII marks become spaces; bytes of other characters stay.
+SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def terms(text: str | None) -> set[str]:
-    """Distinct terms: lower-cased runs without ASCII marks and white space."""
-    return set((text or "").lower().translate(SPACES).split())
+def terms(text: str | None) -> set[bytes]:
+    """Distinct terms: lower-cased runs without ASCII marks and white space, in UTF-8."""
+    return set((text or "").lower().encode("utf-8", "replace").translate(SPACES).split())
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """term, n: how many texts hold each term. Tasks count beforehand, within a bound of memory."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
             held.clear()
             return batch
 
@@ -95,27 +97,28 @@ def memberships(h: np.ndarray) -> np.ndarray:
 
 
 class Terms(dict):
-    """Terms to (hash, whether the lexicon has it)."""
+    """Terms to their places in the lexicon; -1 for those that it does not have."""
 
     def __init__(self, known: np.ndarray) -> None:
         super().__init__()
-        self.known = known
+        self.known, self.kept_by = known, memberships(known)
 
-    def __missing__(self, term: str) -> tuple[int, bool]:
-        h = xxhash.xxh64_intdigest(term)
-        at = int(np.searchsorted(self.known, np.uint64(h)))
-        found = h, at < len(self.known) and int(self.known[at]) == h
+    def __missing__(self, term: bytes) -> int:
+        h = np.uint64(xxhash.xxh64_intdigest(term))
+        at = int(np.searchsorted(self.known, h))
+        found = at if at < len(self.known) and self.known[at] == h else -1
         if len(self) < REMEMBERED_TERMS:
             self[term] = found
         return found
 
-    def fingerprint(self, found: set[str]) -> str:
+    def fingerprint(self, found: set[bytes]) -> str:
         """Hashes for each subset. A text with no term in the band is told by all its terms; one without terms is all EMPTY."""
-        pairs = [self[t] for t in found]
-        h = np.array(sorted([h for h, inside in pairs if inside] or [h for h, _ in pairs]), np.uint64)
+        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        at = np.sort(at[at >= 0])  # the lexicon is sorted by hash, and so are the terms
+        h, keep = self.known[at], self.kept_by[at]
         if not len(h):
-            return EMPTY * len(SUBSETS)
-        keep = memberships(h)
+            h = np.sort(np.array([xxhash.xxh64_intdigest(t) for t in found], np.uint64))
+            keep = memberships(h)
         out = []
         for i in range(len(SUBSETS)):
             part = h[keep[:, i]]
@@ -136,10 +139,10 @@ def likeness(a: str, b: str) -> float:
 
 
 def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows (doc_id, text, range, guest) dealt out so that each range holds documents that follow one another in falling doc_id,
+    """Rows (doc_id, packed, range, guest) dealt out so that each range holds documents that follow one another in falling doc_id,
     sorted, behind them as a guest the document that comes next; behind the last range comes the first again.
 
-    The ranges are cut by ids alone, one number for each block_rows rows. Equal ids follow by text; null ids come last.
+    Texts travel compressed (packed; null for null). The ranges are cut by ids alone, one number for each block_rows rows. Equal ids follow in an order of their texts; null ids come last.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     blocks = min(MOST_RANGES, -(-ids.count() // block_rows))
@@ -165,17 +168,21 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
 
     def invited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        names, types = ["doc_id", "packed", "range", "guest"], (pa.int64(), pa.binary(), pa.int64(), pa.bool_())
         for batch in batches:
-            ranges, ids_ = batch.column("range").to_pylist(), batch.column("doc_id").to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(ids_))], [*batch.schema.names, "guest"])
-            tops_here = [i for i, (r, d) in enumerate(zip(ranges, ids_, strict=True)) if d == tops[r]]
-            if tops_here:
-                some = batch.take(pa.array(tops_here))
-                to = pa.array([hosts[ranges[i]] for i in tops_here], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), to, pa.array([True] * len(tops_here))], ["doc_id", "text", "range", "guest"])
+            if not batch.num_rows:
+                continue
+            out = []
+            for doc, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range")), strict=True):
+                packed = None if text is None else pack(text.encode("utf-8", "replace"))
+                out.append((doc, packed, at, False))
+                if doc == tops[at]:
+                    out.append((doc, packed, hosts[at], True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    dealt = rows.mapInArrow(invited, "doc_id bigint, text string, range bigint, guest boolean")
-    return dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    dealt = rows.mapInArrow(invited, "doc_id bigint, packed binary, range bigint, guest boolean")
+    return dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.asc_nulls_first("packed"))
 
 
 def fingerprinted(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
@@ -190,13 +197,13 @@ def fingerprinted(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs) if known is None else known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, out = Terms(shared.value), []
+        table, out, unpack = Terms(shared.value), [], zstandard.ZstdDecompressor().decompress
         last: tuple | None = None  # the row that waits for its next: range, guest, id, text, fingerprint
         for batch in batches:
-            for doc, text, at, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "guest")), strict=True):
+            for doc, packed, at, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "range", "guest")), strict=True):
                 if guest and last and last[1] and last[0] == at:
                     continue  # of guests with one id, the first
-                text = text or ""
+                text = unpack(packed).decode() if packed else ""
                 mark = table.fingerprint(terms(text))
                 if last and not last[1]:
                     _, _, id_, own, fingerprint = last
