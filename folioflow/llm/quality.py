@@ -2,14 +2,15 @@
 
 The model has modified Kneser-Ney discounts and n-grams of characters within words (so that invented, rare and long words have
 a probability too). Spark counts words over all documents, then n-grams over distinct words; probabilities and back-off
-weights are joined in Spark as well, and only those n-grams that make up a fixed share of all symbols are kept, which bounds
-the model whatever the corpus: KEPT entries an order. Workers hold it as sorted arrays of hashes. A text's verdict compares its
-mean surprise a word with a band of its language, found from all texts: too high and too low are both rejected.
+weights are joined in Spark as well, and all n-grams stay in a table. Workers hold the most frequent ones, KEPT at most, as
+sorted arrays of hashes; words with any other n-gram are priced by a join with the table, so that prices do not depend on what
+workers hold. A text's verdict compares its mean surprise a word with a band of its language, found from all texts: too high and
+too low are both rejected.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import WORD, map_batches, saved
 
 ORDER = 4
 START, END = "\x02", "\x03"
-#: An n-gram is kept if it is at least this part of all symbols: at most KEPT of an order can be.
+#: The most n-grams that workers hold; the others are joined.
 KEPT = 1 << 21
 UNKNOWN = "und"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -33,7 +34,8 @@ UNKNOWN_WORD = 18.0
 REMEMBERED_WORDS = 300_000
 CHUNK = 256
 
-STATS = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, surprise double"
+SCORED = "row bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
+STATS = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise")
 
 
 def language(lang: str = "lang") -> Column:
@@ -44,25 +46,29 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, n over all words of all documents; each word stands between start marks and an end mark."""
     words = docs.select(language().alias("lang"), F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    padded = F.concat(F.lit(START * (order - 1)), "word", F.lit(END))
-    # Long words in chunks: positions within a string are found by walking it.
-    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"(length(word) + 1 - 1) div {CHUNK}")), lambda k: F.substring(padded, k * CHUNK + 1, F.lit(CHUNK + order - 1)))
-    pieces = counted.select("lang", "n", F.explode(chunks).alias("part")).where(F.length("part") >= order)
+    units = counted.select("lang", F.concat(F.lit(START * (order - 1)), "word", F.lit(END)).alias("unit"), "n")
+    return windowed(units, order).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def windowed(units: DataFrame, order: int = ORDER) -> DataFrame:
+    """units (unit and other columns) with each n-gram of the unit as `gram`."""
+    others = [c for c in units.columns if c != "unit"]
+    # Long units in chunks: positions within a string are found by walking it.
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"(length(unit) - {order}) div {CHUNK}")), lambda k: F.substring("unit", k * CHUNK + 1, F.lit(CHUNK + order - 1)))
+    kept = [*others, "unit"]
+    pieces = units.where(F.length("unit") >= order).select(*kept, F.explode(chunks).alias("part")).where(F.length("part") >= order)
     grams = F.transform(F.sequence(F.lit(1), F.length("part") - order + 1), lambda i: F.substring("part", i, F.lit(order)))
-    return pieces.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return pieces.select(*kept, F.explode(grams).alias("gram"))
 
 
-def kneser_ney(grams: DataFrame, order: int = ORDER, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
-    """(order, lang, gram, value): logarithms of interpolated probabilities of n-grams, and of the back-off weights of contexts."""
+def kneser_ney(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(order, lang, gram, tokens, value), all of them: logarithms of interpolated probabilities of n-grams, and of the back-off weights of contexts."""
     top = grams.withColumnRenamed("n", "tokens").withColumn("c", F.col("tokens"))
     levels = {order: top}
     for n in range(order - 1, 0, -1):  # below the top, an n-gram counts the different symbols that stand before it
         shorter = levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram"))
         levels[n] = saved(shorter.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("c")), f"grams{n}")
     probabilities, weights, below = None, None, None
-    symbols = levels[1].groupBy("lang").agg(F.sum("tokens").alias("symbols"))
-    all_symbols = symbols.agg(F.sum("symbols").alias("s")).first()["s"] or 0
-    least = -(-all_symbols // kept)
     for n in range(1, order + 1):
         level = levels[n].withColumn("context", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
         counts = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -82,9 +88,9 @@ def kneser_ney(grams: DataFrame, order: int = ORDER, kept: int = KEPT) -> tuple[
         joined = joined.withColumn("p", own / F.col("total") + F.col("back") * F.col("lower"))
         here = saved(joined.select("lang", "gram", "tokens", "p"), f"p{n}")
         below = here.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        p = here.where(F.col("tokens") >= least).select(F.lit(n).alias("order"), "lang", "gram", F.log("p").alias("value"))
+        p = here.select(F.lit(n).alias("order"), "lang", "gram", "tokens", F.log("p").alias("value"))
         value = F.log("back") - (F.log(F.col("kinds") + 1) if n == 1 else F.lit(0.0))  # what an unknown symbol gets
-        w = context.where(F.col("context_tokens") >= least).select(F.lit(n).alias("order"), "lang", F.col("context").alias("gram"), value.alias("value"))
+        w = context.select(F.lit(n).alias("order"), "lang", F.col("context").alias("gram"), F.col("context_tokens").alias("tokens"), value.alias("value"))
         probabilities, weights = (p, w) if n == 1 else (probabilities.unionByName(p), weights.unionByName(w))
     return probabilities, weights
 
@@ -144,15 +150,18 @@ class Model:
 
     def words(self, lang: str, words: list[str]) -> np.ndarray:
         """Log probability of each word."""
+        return self.units(lang, [padded(w, self.order) for w in words])[0]
+
+    def units(self, lang: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each unit's n-grams, and whether the model has all of them."""
         pad = self.order - 1
-        joined = "".join([START * pad + w + END for w in words])
-        text = codes(joined)
-        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        ends = np.cumsum(sizes + pad)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        at = np.arange(sizes.sum()) + (owner + 1) * pad
+        text = codes("".join(units))
+        lengths = np.array([len(u) for u in units], dtype=np.int64)
+        starts, sizes = np.cumsum(lengths) - lengths, np.maximum(lengths - pad, 0)
+        owner = np.repeat(np.arange(len(units)), sizes)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner] + pad
         out, open_, n = np.zeros(len(at)), np.ones(len(at), bool), self.order
-        assert not len(ends) or ends[-1] == len(text)
+        whole = np.ones(len(units), bool)
         while n and open_.any():
             where = at[open_]
             g = np.full(len(where), salt(lang, n))
@@ -164,22 +173,43 @@ class Model:
             hit, value = self.find(self.grams, self.logs, g)
             _, back = self.find(self.contexts, self.backs, c)
             index = np.flatnonzero(open_)
+            if n == self.order:
+                whole[owner[index[~hit]]] = False
             out[index] += np.where(hit, value, back)
             open_[index[hit]] = False
             n -= 1
-        return np.bincount(owner, out, len(words))
+        return np.bincount(owner, out, len(units)), whole
+
+
+def padded(word: str, order: int = ORDER) -> str:
+    return START * (order - 1) + word + END
+
+
+def arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = hashed(rows).toArrow()
+    keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    values = got.column("value").to_numpy().astype(np.float32)
+    by = np.lexsort((values, keys))
+    return keys[by], values[by]
 
 
-def fit(docs: DataFrame, order: int = ORDER, kept: int = KEPT) -> Model:
-    probabilities, weights = kneser_ney(saved(ngram_counts(docs, order), "ngrams"), order, kept)
-    arrays = []
-    for rows in (probabilities, weights):
-        got = hashed(rows).toArrow()
-        keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        values = got.column("value").to_numpy().astype(np.float32)
-        by = np.lexsort((values, keys))
-        arrays += [keys[by], values[by]]
-    return Model(order, *arrays)
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """The whole model of words in memory."""
+    probabilities, weights = kneser_ney(saved(ngram_counts(docs, order), "ngrams"), order)
+    return Model(order, *arrays(probabilities), *arrays(weights))
+
+
+def frequent(grams: DataFrame, kept: int) -> tuple[DataFrame, bool]:
+    """The most frequent n-grams, at most kept of them, and whether these are all."""
+    level = F.floor(F.log2(F.col("tokens").cast("double"))).cast("int")
+    counts = {r["level"]: r["n"] for r in grams.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = 64, 0
+    for k in sorted(counts, reverse=True):
+        held += counts[k]
+        if held > kept:
+            break
+        least = k
+    return grams.where(level >= least), held <= kept
 
 
 def repeated(words: list[str]) -> int:
@@ -205,10 +235,33 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def statistics(docs: DataFrame, model: Model) -> DataFrame:
-    """Word statistics of every text and its mean surprise (nats a word; null without words)."""
+def statistics(docs: DataFrame, kept: int = KEPT) -> DataFrame:
+    """Word statistics of every text and its mean surprise (nats a word; null without words), under the model of these texts."""
+    probabilities, _ = kneser_ney(saved(ngram_counts(docs), "ngrams"))
+    table = saved(probabilities.where(F.col("order") == ORDER), "prices")
+    known_grams, complete = frequent(table, kept)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    scored = saved(score(docs, Model(ORDER, *arrays(known_grams), *none)), "scored")
+    log_p = F.col("log_p")
+    if not complete:
+        scored = scored.join(joined_prices(scored, table), "row", "left")
+        log_p = log_p + F.coalesce("more", F.lit(0.0))
+    return scored.withColumn("surprise", F.when(F.col("n_words") > 0, -log_p / F.col("n_words"))).select(*STATS)
+
+
+def joined_prices(scored: DataFrame, table: DataFrame) -> DataFrame:
+    """row, more: what the missing units of each row add to its logarithm."""
+    missing = scored.select("row", "lang", F.explode("missing").alias("m")).select("row", "lang", "m.*")
+    grams = windowed(missing.select("lang", "unit").distinct())
+    values = table.select("lang", "gram", F.col("value").cast("float").cast("double").alias("value"))
+    prices = grams.join(values, ["lang", "gram"]).groupBy("lang", "unit").agg(F.greatest(F.sum("value"), F.lit(-UNKNOWN_WORD)).alias("price"))
+    return missing.join(prices, ["lang", "unit"]).groupBy("row").agg(F.sum(F.col("times") * F.col("price")).alias("more"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Statistics of each text, the logarithm of its units' probabilities, and the units that the model does not have whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tables: dict[str, dict[str, float]] = {}  # of a worker, by language
+    tables: dict[str, dict[str, float]] = {}  # of a worker, by language; nan for what the model lacks
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lm = shared.value
@@ -220,16 +273,22 @@ def statistics(docs: DataFrame, model: Model) -> DataFrame:
         for lang in set(langs):
             known = tables.setdefault(lang, {})
             new = list(set().union(*(w for w, x in zip(words, langs, strict=True) if x == lang)) - known.keys())
-            known.update(zip(new, np.maximum(lm.words(lang, new), -UNKNOWN_WORD).tolist(), strict=True))
+            log_p, whole = lm.units(lang, list(map(padded, new)))
+            known.update(zip(new, np.where(whole, np.maximum(log_p, -UNKNOWN_WORD), np.nan).tolist(), strict=True))
         rows = []
-        for doc, lang, text, ws in zip(batch.column("doc_id").to_pylist(), langs, texts, words, strict=True):
-            known = tables[lang]
+        for row, doc, lang, text, ws in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), langs, texts, words, strict=True):
+            known, missing = tables[lang], []
             total = sum(map(known.__getitem__, ws))
-            rows.append((doc, lang, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), -total / len(ws) if ws else None))
-        types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], re.findall(r"(\w+) \w+(?:,|$)", STATS))
+            if total != total:
+                lacking = Counter(w for w in ws if known[w] != known[w])
+                total = sum(known[w] for w in ws if w not in lacking)
+                missing = [{"unit": padded(w), "times": n} for w, n in lacking.items()]
+            rows.append((row, doc, lang, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), float(total), missing))
+        types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())])))
+        names = [f.split()[0] for f in SCORED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return map_batches(docs.select("doc_id", language().alias("lang"), "text"), one, STATS)
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", language().alias("lang"), "text"), one, SCORED)
 
 
 def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -251,14 +310,15 @@ def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
     return out.select(*stats.columns, F.exp("surprise").alias("perplexity"), F.exp(F.col("middle") - F.col("half")).alias("lower"), F.exp(F.col("middle") + F.col("half")).alias("upper"), kept.alias("kept"))
 
 
-def rate(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+def rate(docs: DataFrame, width: float = WIDTH, kept: int = KEPT) -> DataFrame:
     """Statistics, perplexity, its band and the verdict for every row of docs (doc_id, text, lang).
 
     Null and empty texts have no words and fail the base rules. A null lang is a language of its own, `und`. Repeated rows
-    count each and get the same verdict. An empty table gives no rows. More columns are ignored; texts are read whole.
+    count each and get the same verdict. An empty table gives no rows. More columns are ignored; texts are read whole. How many
+    n-grams workers hold (kept) decides where words are priced, not their prices.
     """
     docs = docs.select("doc_id", "text", "lang")
-    return judged(saved(statistics(docs, fit(docs)), "quality"), width)
+    return judged(saved(statistics(docs, kept), "quality"), width)
 
 
 def passing(docs: DataFrame, width: float = WIDTH) -> DataFrame:

@@ -228,6 +228,16 @@ def test_quality(frame, awkward, empty):
     assert quality.rate(empty).count() == 0 and quality.passing(docs).columns == docs.columns and quality.passing(docs).count() == 80
 
 
+def test_all_ngrams_price_words(frame):
+    texts = [syllables(i, EN, 60) for i in range(40)] + ["ǆo ǆe " + syllables(90 + i, FR, 60) for i in range(4)]
+    docs = frame(texts, ["en"] * 40 + ["xx"] * 4)
+    few, all_ = ({r.doc_id: r for r in quality.rate(docs, kept=n).collect()} for n in (20, quality.KEPT))
+    alone = {r.doc_id: r for r in quality.rate(docs.where("lang = 'xx'"), kept=0).collect()}
+    for i, r in all_.items():
+        assert few[i].perplexity == pytest.approx(r.perplexity) and few[i].kept == r.kept
+        assert i < 40 or alone[i].perplexity == pytest.approx(r.perplexity)
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------------
 
 
