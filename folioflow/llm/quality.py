@@ -1,16 +1,18 @@
 """Quality rules: word statistics, and the perplexity of each text under a language's own n-gram model.
 
-The model has modified Kneser-Ney discounts and n-grams of characters within words (so that invented, rare and long words have
-a probability too). Spark counts words over all documents, then n-grams over distinct words; probabilities and back-off
-weights are joined in Spark as well, and all n-grams stay in a table. Workers hold the most frequent ones, KEPT at most, as
-sorted arrays of hashes; words with any other n-gram are priced by a join with the table, so that prices do not depend on what
-workers hold. A text's verdict compares its mean surprise a word with a band of its language, found from all texts: too high and
+The model has modified Kneser-Ney discounts and n-grams of characters, the space between words being one (so that invented, rare
+and long words have a probability too, and the order of words counts). Each n-gram of a text lies in a unit: a word with the
+spaces around it, or two characters on both sides of a space. Spark counts units over all documents, then n-grams over distinct
+units; probabilities are joined in Spark as well, and all n-grams stay in a table. Workers hold the most frequent ones, KEPT at
+most, as sorted arrays of hashes; units with any other n-gram are priced by a join with the table, so that prices do not depend
+on what workers hold. A text's verdict compares its mean surprise a word with a band of its language, found from all texts: too high and
 too low are both rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +31,11 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Half the width of a band, in robust standard deviations; the lower band is as wide.
 WIDTH = 5.0
-#: A word less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
+#: A unit less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
 UNKNOWN_WORD = 18.0
-REMEMBERED_WORDS = 300_000
+REMEMBERED_UNITS = 600_000
+#: Units whose counts a task holds before it hands them on.
+HELD_UNITS = 400_000
 CHUNK = 256
 
 SCORED = "row bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
@@ -50,6 +54,46 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return windowed(units, order).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def joints(words: list[str]) -> list[str]:
+    """What stands on both sides of the space before each word, and behind the last."""
+    if not words:
+        return []
+    return [f"{a[-2:]} {b[:2]}" for a, b in zip([START, *words], [*words, END], strict=True)]
+
+
+def spread(unit: str) -> str:
+    """A word, or a joint (which has a space within), with all characters that its n-grams take in; ORDER is 4."""
+    left, space, right = unit.partition(" ")
+    return f"{left:>2} {right:<2}" if space else f" {left} "
+
+
+def text_ngram_counts(docs: DataFrame) -> DataFrame:
+    """lang, gram, n over all texts, their words parted by one space. Tasks count units beforehand, within a bound of memory."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter[str]] = defaultdict(Counter)
+
+        def out() -> pa.RecordBatch:
+            rows = [(lang, spread(u), n) for lang, units in held.items() for u, n in units.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "unit", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words = WORD.findall(text.as_py() or "")
+                if words:
+                    held[lang].update(words)
+                    held[lang].update(joints(words))
+                if sum(map(len, held.values())) > HELD_UNITS:
+                    yield out()
+        if held:
+            yield out()
+
+    counted = docs.select(language().alias("lang"), "text").mapInArrow(each, "lang string, unit string, n bigint")
+    units = counted.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    return windowed(units).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def windowed(units: DataFrame, order: int = ORDER) -> DataFrame:
     """units (unit and other columns) with each n-gram of the unit as `gram`."""
     others = [c for c in units.columns if c != "unit"]
@@ -237,7 +281,7 @@ def repeated_lines(text: str) -> int:
 
 def statistics(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """Word statistics of every text and its mean surprise (nats a word; null without words), under the model of these texts."""
-    probabilities, _ = kneser_ney(saved(ngram_counts(docs), "ngrams"))
+    probabilities, _ = kneser_ney(saved(text_ngram_counts(docs), "ngrams"))
     table = saved(probabilities.where(F.col("order") == ORDER), "prices")
     known_grams, complete = frequent(table, kept)
     none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
@@ -268,21 +312,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         langs = batch.column("lang").to_pylist()
         texts = [t or "" for t in batch.column("text").to_pylist()]
         words = [WORD.findall(t) for t in texts]
-        if sum(map(len, tables.values())) > REMEMBERED_WORDS:
+        units = [[*w, *joints(w)] for w in words]
+        if sum(map(len, tables.values())) > REMEMBERED_UNITS:
             tables.clear()
         for lang in set(langs):
             known = tables.setdefault(lang, {})
-            new = list(set().union(*(w for w, x in zip(words, langs, strict=True) if x == lang)) - known.keys())
-            log_p, whole = lm.units(lang, list(map(padded, new)))
+            new = list(set().union(*(u for u, x in zip(units, langs, strict=True) if x == lang)) - known.keys())
+            log_p, whole = lm.units(lang, list(map(spread, new)))
             known.update(zip(new, np.where(whole, np.maximum(log_p, -UNKNOWN_WORD), np.nan).tolist(), strict=True))
         rows = []
-        for row, doc, lang, text, ws in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), langs, texts, words, strict=True):
+        for row, doc, lang, text, ws, us in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), langs, texts, words, units, strict=True):
             known, missing = tables[lang], []
-            total = sum(map(known.__getitem__, ws))
+            total = sum(map(known.__getitem__, us))
             if total != total:
-                lacking = Counter(w for w in ws if known[w] != known[w])
-                total = sum(known[w] for w in ws if w not in lacking)
-                missing = [{"unit": padded(w), "times": n} for w, n in lacking.items()]
+                lacking = Counter(u for u in us if known[u] != known[u])
+                total = sum(known[u] for u in us if u not in lacking)
+                missing = [{"unit": spread(u), "times": n} for u, n in lacking.items()]
             rows.append((row, doc, lang, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), float(total), missing))
         types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())])))
         names = [f.split()[0] for f in SCORED.split(", ")]

@@ -238,6 +238,19 @@ def test_all_ngrams_price_words(frame):
         assert i < 40 or alone[i].perplexity == pytest.approx(r.perplexity)
 
 
+def test_ngrams_cross_words(frame):
+    words = "a bcd e\n f".split()
+    grams = lambda s: [s[i : i + 4] for i in range(len(s) - 3)]
+    units = [quality.spread(u) for u in words + quality.joints(words)]
+    assert sorted(g for u in units for g in grams(u)) == sorted(grams(f" {quality.START} a bcd e f {quality.END} "))
+    phrases = ["of the old house", "in a small town", "when rain began", "they had to leave", "by early morning"]
+    r = random.Random(3)
+    texts = [" ".join(r.choice(phrases) for _ in range(60)) for _ in range(30)]
+    mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in texts[:2]] + [" | ".join(t.split()) for t in texts[2:4]]
+    rows = {x.doc_id: x.perplexity for x in quality.rate(frame(texts + mixed)).collect()}
+    assert min(rows[i] for i in (30, 31)) > 1.2 * max(rows[i] for i in range(30))
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------------
 
 
