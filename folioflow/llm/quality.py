@@ -31,6 +31,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Half the width of a band, in robust standard deviations; the lower band is as wide.
 WIDTH = 5.0
+#: The least deviation between texts, and of a word within one: near copies of one text must not make a band of no width.
+LEAST_BETWEEN, LEAST_WITHIN = 0.05, 1.0
 #: A unit less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
 UNKNOWN_WORD = 18.0
 REMEMBERED_UNITS = 600_000
@@ -38,8 +40,8 @@ REMEMBERED_UNITS = 600_000
 HELD_UNITS = 400_000
 CHUNK = 256
 
-SCORED = "row bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
-STATS = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise")
+SCORED = "row bigint, doc_id bigint, lang string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
+STATS = ("doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise")
 
 
 def language(lang: str = "lang") -> Column:
@@ -321,26 +323,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             log_p, whole = lm.units(lang, list(map(spread, new)))
             known.update(zip(new, np.where(whole, np.maximum(log_p, -UNKNOWN_WORD), np.nan).tolist(), strict=True))
         rows = []
-        for row, doc, lang, text, ws, us in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), langs, texts, words, units, strict=True):
+        ids = [batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")]
+        for row, doc, text_hash, lang, text, ws, us in zip(*ids, langs, texts, words, units, strict=True):
             known, missing = tables[lang], []
             total = sum(map(known.__getitem__, us))
             if total != total:
                 lacking = Counter(u for u in us if known[u] != known[u])
                 total = sum(known[u] for u in us if u not in lacking)
                 missing = [{"unit": spread(u), "times": n} for u, n in lacking.items()]
-            rows.append((row, doc, lang, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), float(total), missing))
-        types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())])))
+            rows.append((row, doc, lang, text_hash, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), float(total), missing))
+        types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.float64(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())])))
         names = [f.split()[0] for f in SCORED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", language().alias("lang"), "text"), one, SCORED)
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", language().alias("lang"), F.xxhash64("text").alias("text_hash"), "text"), one, SCORED)
 
 
 def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
     """stats (saved) with base_failed, the band of the language and kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    good = stats.where(~F.col("base_failed"))
+    # Each text once, however many copies it has.
+    good = stats.where(~F.col("base_failed")).groupBy("lang", "text_hash").agg(F.min("surprise").alias("surprise"), F.min("n_words").alias("n_words"))
     middle = good.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
     off = good.join(middle, "lang").withColumn("off", F.abs(F.col("surprise") - F.col("middle")))
     spread = off.groupBy("lang").agg(
@@ -348,7 +352,9 @@ def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
         (1.4826 * F.percentile_approx(F.when(F.col("n_words") < 400, F.col("off") * F.sqrt("n_words")), 0.5, 10_000)).alias("within"),
     )
     bands = middle.join(spread, "lang")
-    half = width * F.sqrt(F.coalesce("between", F.lit(0.1)) ** 2 + F.coalesce(F.col("within"), F.lit(4.0)) ** 2 / F.greatest("n_words", F.lit(1)))
+    between = F.greatest(F.coalesce("between", F.lit(0.1)), F.lit(LEAST_BETWEEN))
+    within = F.greatest(F.coalesce("within", F.lit(4.0)), F.lit(LEAST_WITHIN))
+    half = width * F.sqrt(between**2 + within**2 / F.greatest("n_words", F.lit(1)))
     out = stats.join(bands, "lang", "left").withColumn("half", half)
     inside = F.abs(F.col("surprise") - F.col("middle")) <= F.col("half")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))

@@ -251,6 +251,14 @@ def test_ngrams_cross_words(frame):
     assert min(rows[i] for i in (30, 31)) > 1.2 * max(rows[i] for i in range(30))
 
 
+def test_band_is_of_distinct_texts(frame):
+    texts = [syllables(i, EN, 120 + i) for i in range(30)] + [syllables(99, EN, 450)] * 50
+    kept = {r.doc_id for r in quality.rate(frame(texts)).where("kept").collect()}
+    assert kept == set(range(80))
+    rows = [r.asDict() for r in quality.rate(frame([syllables(1, EN, 120)] * 3)).collect()]
+    assert all(r["upper"] / r["lower"] > 1.5 for r in rows)
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------------
 
 
