@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, fingerprint, language, neardup, pack, pieces, quality, rollup, shard, toxicity
-from .common import scratch_dir, table, vocabulary
+from .common import forget, scratch_dir, table, vocabulary
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,15 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the shards of whole documents, as they were written."""
+    sharded = shard.shard_rows(table(spark, sf_dir, "documents"))
+    path = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
+    shard.write_shards(sharded, path)
+    forget(sharded)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shard.shard_rows(records)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 1).cast("bigint").alias("size")
+    out = spark.read.schema(sharded.schema).parquet(path)
+    return out.select("doc_id", size, F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,48 +7,61 @@ other, are a random order of the whole table, which is cut into shards of equal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
 SHARDS, SEED = 8, 20_251
-#: Records of a bucket. The scatter is even, so that no bucket is far above it, whatever the data.
-BUCKET_RECORDS = 8_000
+#: Records and bytes of a bucket. The scatter is even, so that no bucket is far above them but for single long records.
+BUCKET_RECORDS, BUCKET_BYTES = 8_000, 8_000_000
+
+
+def bytes_of(records: DataFrame) -> Column:
+    """About how many bytes a record takes up."""
+    parts = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in records.dtypes]
+    return functools.reduce(operator.add, parts, F.lit(0)).cast("bigint")
 
 
-def shuffled(records: DataFrame, seed: int = SEED, bucket_records: int = BUCKET_RECORDS) -> tuple[DataFrame, int]:
+def shuffled(records: DataFrame, seed: int = SEED, bucket_records: int = BUCKET_RECORDS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """records with `position` (gapless from 0), in a random order that seed and records decide, and their number.
 
     Wholly equal records scatter by their place in the input, so that a group of copies spreads over all buckets. Nulls are
     values like others. Empty table: no rows. All columns are kept; a column named `position` is replaced.
     """
     columns = [c for c in records.columns if c != "position"]
-    rows = records.count()
-    buckets = max(1, -(-rows // bucket_records))
+    rows, size = records.agg(F.count(F.lit(1)), F.coalesce(F.sum(bytes_of(records)), F.lit(0))).first()
+    buckets = max(1, -(-rows // bucket_records), -(-size // bucket_bytes))
     keyed = records.select(*columns).withColumn("__key", F.xxhash64(F.lit(seed), *columns))
     place = (F.spark_partition_id(), F.monotonically_increasing_id())
     scattered = keyed.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", *place), F.lit(buckets)))
-    scattered = saved(scattered, "buckets")  # a lost task must not scatter copies anew
+    scattered = saved(scattered, "buckets", compression="zstd")  # a lost task must not scatter copies anew
     # Sorted arrays, in sorted order within a partition, make the seeded draw the same each time.
-    gathered = scattered.groupBy("__bucket").agg(F.array_sort(F.collect_list(F.struct("__key", *columns))).alias("__all")).sortWithinPartitions("__bucket")
+    gathered = scattered.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.array_sort(F.collect_list(F.struct("__key", *columns))).alias("__all")).sortWithinPartitions("__bucket")
     drawn = gathered.select("__bucket", F.posexplode(F.shuffle("__all", seed)).alias("__at", "__record"))
     sizes = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
     out = drawn.join(before, "__bucket").select(*(F.col("__record")[c].alias(c) for c in columns), (F.col("__before") + F.col("__at")).alias("position"))
+    out._scratch_path = scattered._scratch_path
     return out, rows
 
 
-def shard_rows(records: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def shard_rows(records: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_records: int = BUCKET_RECORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """records with shard (0 to shards - 1; counts at most one apart) and slot (gapless from 0 within the shard)."""
-    out, rows = shuffled(records.drop("shard", "slot"), seed, bucket_records)
+    out, rows = shuffled(records.drop("shard", "slot"), seed, bucket_records, bucket_bytes)
+    path = out._scratch_path
     n, k = F.lit(max(rows, 1)), F.lit(shards)
     shard = F.expr(f"position * {shards} div {max(rows, 1)}")
     out = out.withColumn("shard", shard.cast("int"))
     first = F.floor((F.col("shard") * n + k - 1) / k)
-    return out.withColumn("slot", F.col("position") - first.cast("bigint")).drop("position")
+    out = out.withColumn("slot", F.col("position") - first.cast("bigint")).drop("position")
+    out._scratch_path = path
+    return out
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """A folder of Parquet for each shard, in order of slot."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder of Parquet for each shard, each file in order of slot. A bucket lies in few shards, so that nothing is shuffled again."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import extract, fingerprint, language, neardup, pack, pieces, quality, rollup, shard, toxicity
+from folioflow.llm import extract, fingerprint, language, neardup, pack, pieces, quality, queries, rollup, shard, toxicity
 from folioflow.llm.common import byte_bpe, vocabulary, words_of
 from folioflow.shipping import ship
 
@@ -439,6 +439,20 @@ def test_shards_are_written(frame, tmp_path, spark):
     assert len(list((tmp_path / "out").glob("shard=*"))) == 8 and spark.read.parquet(f"file://{tmp_path}/out").count() == 40
 
 
+def test_documents_are_sharded_whole(frame, tmp_path, spark, monkeypatch):
+    texts = ["long " * (i % 7) * 400 + str(i) for i in range(200)]
+    frame(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    write = shard.write_shards
+    monkeypatch.setattr(shard, "write_shards", lambda df, path: (written.append(path), write(df, path)))
+    rows = queries.op9_shard(spark, str(tmp_path)).collect()
+    files = {r.doc_id: (r.text, r.shard, r.slot) for r in spark.read.parquet(written[0]).collect()}
+    assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in rows} == {d: (len(t) + 1, zlib.crc32(t.encode()), s, k) for d, (t, s, k) in files.items()}
+    assert [files[i][0] for i in range(200)] == texts
+    sizes = shard.shuffled(frame(["x" * 10_000] * 100), bucket_bytes=50_000)[0]
+    assert sizes.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
 # --- token counts ----------------------------------------------------------------------------------------------------------------
 
 
