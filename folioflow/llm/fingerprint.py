@@ -12,6 +12,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BATCH_ROWS
+from .common import BATCH_ROWS, saved
 
 #: The band: terms in at most and at least this share of documents (idf 1.6 to 7.6).
 MOST_SHARE, LEAST_SHARE = 0.2, 0.0005
@@ -35,6 +36,10 @@ TOLD_BY = 12
 HELD_TERMS, BLOCK_ROWS = 400_000, 2000
 MOST_RANGES = 100_000
 REMEMBERED_TERMS = 300_000
+#: A text with fewer terms in the band is told by all its terms.
+FEW_TERMS = 8
+#: Bits of the filter that finds texts which may have copies.
+FILTER_BITS = 1 << 26
 #: ASCII marks become spaces; bytes of other characters stay.
 SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -44,8 +49,24 @@ def terms(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "replace").translate(SPACES).split())
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term, n: how many texts hold each term. Tasks count beforehand, within a bound of memory."""
+def text_hashes(docs: DataFrame) -> DataFrame:
+    """h, n: the hash of each distinct text, and its copies."""
+    return saved(docs.groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")), "texts")
+
+
+def distinct_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Each text of docs once. Only texts that may have copies are shuffled: those that a filter of bounded size lets through."""
+    bit = F.pmod("h", F.lit(FILTER_BITS))
+    words = hashes.where("n > 1").select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("mask"))
+    rows = docs.select("text", F.xxhash64("text").alias("h")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    rows = rows.join(F.broadcast(words), "word", "left").withColumn("maybe", F.expr("coalesce((mask & shiftleft(1L, int(bit % 64))) <> 0, false)"))
+    once = rows.where("maybe").groupBy("h").agg(F.first("text").alias("text"))
+    return rows.where("not maybe").select("text").unionByName(once.select("text"))
+
+
+def document_frequencies(docs: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """term, n: how many distinct texts hold each term. Tasks count beforehand, within a bound of memory."""
+    docs = distinct_texts(docs, text_hashes(docs) if hashes is None else hashes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -67,10 +88,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, most: float = MOST_SHARE, least: float = LEAST_SHARE) -> np.ndarray:
-    """Sorted hashes of the terms within the band."""
-    rows = docs.count()
+    """Sorted hashes of the terms within the band, by shares of distinct texts."""
+    hashes = text_hashes(docs)
+    rows = hashes.count()
     low, high = max(2, math.ceil(least * rows)), max(2, math.floor(most * rows))
-    found = document_frequencies(docs).where((F.col("n") >= low) & (F.col("n") <= high))
+    found = document_frequencies(docs, hashes).where((F.col("n") >= low) & (F.col("n") <= high))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,19 +133,42 @@ class Terms(dict):
             self[term] = found
         return found
 
-    def fingerprint(self, found: set[bytes]) -> str:
-        """Hashes for each subset. A text with no term in the band is told by all its terms; one without terms is all EMPTY."""
+    def mark(self, found: set[bytes]) -> Mark:
+        """The fingerprint of a text by its terms in the band, or by all its terms if it has few of those."""
         at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         at = np.sort(at[at >= 0])  # the lexicon is sorted by hash, and so are the terms
-        h, keep = self.known[at], self.kept_by[at]
-        if not len(h):
-            h = np.sort(np.array([xxhash.xxh64_intdigest(t) for t in found], np.uint64))
-            keep = memberships(h)
-        out = []
-        for i in range(len(SUBSETS)):
-            part = h[keep[:, i]]
-            out.append(f"{xxhash.xxh64_intdigest(part.tobytes()) % (16**WIDTH - 1) + 1:0{WIDTH}x}" if len(part) else EMPTY)
-        return "".join(out)
+        if len(at) < FEW_TERMS:
+            return Mark(whole(found), True, found)
+        return Mark(hashes_of(self.known[at], self.kept_by[at]), False, found)
+
+
+@dataclass
+class Mark:
+    fingerprint: str
+    thin: bool
+    found: set[bytes]
+
+
+def whole(found: set[bytes]) -> str:
+    """The fingerprint by all terms, whatever the band."""
+    h = np.sort(np.array([xxhash.xxh64_intdigest(t) for t in found], np.uint64))
+    return hashes_of(h, memberships(h))
+
+
+def hashes_of(h: np.ndarray, keep: np.ndarray) -> str:
+    """Hashes for each subset; all EMPTY without terms."""
+    out = []
+    for i in range(len(SUBSETS)):
+        part = h[keep[:, i]]
+        out.append(f"{xxhash.xxh64_intdigest(part.tobytes()) % (16**WIDTH - 1) + 1:0{WIDTH}x}" if len(part) else EMPTY)
+    return "".join(out)
+
+
+def nearness(a: Mark, b: Mark) -> float:
+    """likeness(); if one text is told by all its terms, so is the other."""
+    if a.thin == b.thin:
+        return likeness(a.fingerprint, b.fingerprint)
+    return likeness(whole(a.found), whole(b.found))
 
 
 def likeness(a: str, b: str) -> float:
@@ -198,19 +243,19 @@ def fingerprinted(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, out, unpack = Terms(shared.value), [], zstandard.ZstdDecompressor().decompress
-        last: tuple | None = None  # the row that waits for its next: range, guest, id, text, fingerprint
+        last: tuple | None = None  # the row that waits for its next: range, guest, id, text, mark
         for batch in batches:
             for doc, packed, at, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "range", "guest")), strict=True):
                 if guest and last and last[1] and last[0] == at:
                     continue  # of guests with one id, the first
                 text = unpack(packed).decode() if packed else ""
-                mark = table.fingerprint(terms(text))
+                mark = table.mark(terms(text))
                 if last and not last[1]:
-                    _, _, id_, own, fingerprint = last
+                    _, _, id_, own, before = last
                     half = len(own) // 2
                     edited = own[: len(own) - half] + text[:half]
-                    other = table.fingerprint(terms(edited))
-                    out.append((id_, len(own), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), fingerprint, other, likeness(fingerprint, other), likeness(fingerprint, mark)))
+                    other = table.mark(terms(edited))
+                    out.append((id_, len(own), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), before.fingerprint, other.fingerprint, nearness(before, other), nearness(before, mark)))
                 last = at, guest, doc, text, mark
                 if len(out) >= BATCH_ROWS:
                     yield rows_of(out)

@@ -349,6 +349,18 @@ def test_frequencies_and_band(frame):
     assert len(fingerprint.lexicon(docs, 1.0, 0.5)) == 1
 
 
+def test_copies_count_once_and_thin_texts_are_told_whole(frame):
+    docs = frame(["a b"] * 5 + ["a c", "d c"])
+    assert {r.term: r.n for r in fingerprint.document_frequencies(docs).collect()} == {"a": 2, "b": 1, "c": 2, "d": 1}
+    band = np.sort(np.array([fingerprint.xxhash.xxh64_intdigest(t) for t in (b"w1", *(b"z%d" % i for i in range(9)))], np.uint64))
+    table = fingerprint.Terms(band)
+    base = {b"w%d" % i for i in range(2, 90)}
+    one, near, other = table.mark(base), table.mark(base | {b"w1"}), table.mark({b"w1", b"q"})
+    assert fingerprint.nearness(one, near) > 0.5 and fingerprint.nearness(near, other) < 0.5
+    full = table.mark(base | {b"z%d" % i for i in range(9)})
+    assert not full.thin and fingerprint.nearness(one, full) > 0.4
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------------------
 
 
