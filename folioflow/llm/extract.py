@@ -39,12 +39,16 @@ CONTAINERS = frozenset("html body main article".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements that hold the article; within them, only whole names count, and no ids or classes of what is text by its element.
+ARTICLES = frozenset("main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | {"section", "p"}
 WORDS = re.compile(r"[a-z]+")
 UNFINISHED = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
 
 
-def sidelined(name: str, attributes: str) -> bool:
-    """Whether an element is no article text, by its name or attributes."""
+def sidelined(name: str, attributes: str, within: bool = False) -> bool:
+    """Whether an element is no article text, by its name or attributes; within: it stands in an element that holds the article."""
     if name in LEFT_OUT:
         return True
     if not attributes or name in ("html", "body"):
@@ -53,7 +57,9 @@ def sidelined(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role") and name not in CONTAINERS and not ASIDES.isdisjoint(WORDS.findall(value)):
+        if key not in ("class", "id", "role") or name in CONTAINERS or key == "id" and name in HEADINGS or within and key != "role" and name in TEXTS:
+            continue
+        if not ASIDES.isdisjoint(value.split() if within else WORDS.findall(value)):
             return True
     return False
 
@@ -130,7 +136,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...]]]:
             end_block()
         number += 1
         if not attributes.rstrip().endswith("/") or name in BLOCKS:
-            if skip_from is None and sidelined(name, attributes):
+            if skip_from is None and sidelined(name, attributes, any(n in ARTICLES for n, _ in stack)):
                 skip_from = len(stack)
             stack.append((name, number))
             if name in RAW:
@@ -147,14 +153,14 @@ def windows(lengths: list[int], window: int = WINDOW) -> list[int]:
     return [sum(lengths[i : i + window]) for i in range(len(lengths))]
 
 
-def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last line of the article: from a surge to its dive, with the most text of all such stretches.
+def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and last line of each stretch from a surge to its dive.
 
     A surge is a window that rises over the level and the text after which stays over it; a dive is where no text follows on.
     """
     sums = windows(lengths, window)
     level = min(SURGE_CHARS, SURGE_SHARE * sum(sums) / len(sums))
-    best, most, i = (0, len(lengths) - 1), -1, 0
+    out, i = [], 0
     while i < len(sums):
         if sums[i] < level:
             i += 1
@@ -163,9 +169,13 @@ def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
         while i < len(sums) and sums[i] >= level:
             i += 1
         end = min(i - 1 + window - 1, len(lengths) - 1)
-        if sum(lengths[start : end + 1]) > most:
-            best, most = (start, end), sum(lengths[start : end + 1])
-    return best
+        out.append((start, end))
+    return out
+
+
+def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """First and last line of the article: the stretch with the most text."""
+    return max(stretches(lengths, window), key=lambda s: sum(lengths[s[0] : s[1] + 1]), default=(0, len(lengths) - 1))
 
 
 def main_text(html: str | None) -> str:
@@ -186,6 +196,14 @@ def main_text(html: str | None) -> str:
             first -= 1
         while last + 1 < len(found) and found[last + 1][1][: len(path)] == path:
             last += 1
+    else:  # body itself holds the article: so it does other stretches with blocks of its own, and what is next to them
+        for start, end in stretches([len(t) for t, _ in found]):
+            if any(len(p) <= 1 for _, p in found[start : end + 1]):
+                first, last = min(first, start), max(last, end)
+        while first and len(found[first - 1][1]) <= 1:
+            first -= 1
+        while last + 1 < len(found) and len(found[last + 1][1]) <= 1:
+            last += 1
     return "\n\n".join(t for t, _ in found[first : last + 1])
 
 

@@ -313,6 +313,17 @@ def test_stretch():
     assert first <= 5 and last >= 7 and last <= 9
 
 
+def test_article_text_is_kept_whole():
+    long = "A paragraph of the article that goes on for long enough to count as text by itself, as it has many words. " * 2
+    parts = ['<section id="discussion">', '<section id="related-work">', '<h2 id="copyright">', '<p class="legal">', '<div class="search-methods">']
+    page = "<body><article>" + "".join(f"{p}{i} {long}</{p[1:].split()[0]}>" for i, p in enumerate(parts)) + '<div class="comments">no</div></article></body>'
+    got = extract.main_text(page)
+    assert all(f"{i} {long.strip()}" in got for i in range(5)) and not got.endswith("no")
+    short = "".join(f"<p>short {i}</p>" for i in range(8))
+    flat = extract.main_text(f"<body><h1>Title</h1><p>first {long}</p>{short}<h2>On</h2><p>second {long}</p><p>End.</p></body>")
+    assert flat.startswith("Title") and "first" in flat and "short 5" in flat and "second" in flat and flat.endswith("End.")
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------------------
 
 
