@@ -62,3 +62,13 @@ def test_split_rtl():
 def test_columns_of_runs(spark):
     row = spark.createDataFrame([("**a** b",)], "t string").select(inline.runs("t").alias("r"), inline.html_of("t").alias("h"), inline.plain_of("t").alias("p"), inline.rtl_runs("t").alias("d")).first()
     assert [x.text for x in row.r] == ["a", " b"] and row.h == "<strong>a</strong> b" and row.p == "a b" and row.d[0].text
+
+
+def test_rtl_runs_of_whole_documents(spark, tmp_path):
+    from folioflow import queries
+    from folioflow.shipping import ship
+
+    text = "Latin words come first in this long line, and שלום stands behind them."
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.rtl_runs(ship(spark), str(tmp_path)).collect()
+    assert "שלום" in "".join(str(v) for r in sorted(rows, key=lambda r: r.k) for v in r)
