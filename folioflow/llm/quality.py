@@ -373,7 +373,8 @@ def rate(docs: DataFrame, width: float = WIDTH, kept: int = KEPT) -> DataFrame:
 
 
 def passing(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """docs, all columns, without the rows that rate() rejects. Rows of one id share a verdict: it stays if one of them passes."""
+    """docs, all columns, without the rows that rate() rejects, each by its own language and text, whether it has an id or not."""
     names = docs.columns
-    kept = rate(docs, width).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*names)
+    kept = rate(docs, width).where("kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (language() == F.col("__lang")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(kept, same, "left_semi").select(*names)

@@ -259,6 +259,11 @@ def test_band_is_of_distinct_texts(frame):
     assert all(r["upper"] / r["lower"] > 1.5 for r in rows)
 
 
+def test_rows_without_id_have_verdicts_of_their_own(frame):
+    docs = frame([syllables(i, EN, 120) for i in range(20)] + ["the the the and " * 50]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.text for r in quality.passing(docs).collect()) == sorted(syllables(i, EN, 120) for i in range(20))
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------------
 
 
