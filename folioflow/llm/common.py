@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import re
 import tempfile
@@ -19,6 +20,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 #: Rows of an Arrow batch. Texts can be long, so that batches are kept short.
 BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The most rows of a table of few numbers a row that is broadcast (under 1 MB).
+SMALL_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +48,34 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a saved() table that no later result reads."""
-    spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of saved() tables that no later result reads."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(), with batches of BATCH_ROWS rows at most: buffers on both sides grow with the texts of a batch."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(each, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and the next stage's need would come on top."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
@@ -62,7 +88,12 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(each, schema)
+    return in_arrow(df, each, schema)
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A saved() table, to be broadcast if it has at most so many rows; beyond that, joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def words_of(text: str | None) -> list[str]:

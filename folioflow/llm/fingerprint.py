@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BATCH_ROWS, saved
+from .common import BATCH_ROWS, in_arrow, saved
 
 #: The band: terms in at most and at least this share of documents (idf 1.6 to 7.6).
 MOST_SHARE, LEAST_SHARE = 0.2, 0.0005
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, hashes: DataFrame | None = None) -> Da
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(each, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select("text"), each, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, most: float = MOST_SHARE, least: float = LEAST_SHARE) -> np.ndarray:
@@ -99,7 +99,7 @@ def lexicon(docs: DataFrame, most: float = MOST_SHARE, least: float = LEAST_SHAR
             h = np.array([xxhash.xxh64_intdigest(t) for t in batch.column("term").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    got = found.select("term").mapInArrow(each, "h bigint").toArrow().column("h").to_numpy()
+    got = in_arrow(found.select("term"), each, "h bigint").toArrow().column("h").to_numpy()
     return np.unique(got.astype(np.int64).view(np.uint64))
 
 
@@ -205,7 +205,7 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                 at = np.where(ids_.is_null().to_numpy(zero_copy_only=False), len(edges) + 1, at)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "range"])
 
-        return rows.mapInArrow(each, StructType([*rows.schema.fields, StructField("range", LongType())]))
+        return in_arrow(rows, each, StructType([*rows.schema.fields, StructField("range", LongType())]))
 
     tops = {r["range"]: r["top"] for r in numbered(ids).groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
@@ -226,7 +226,7 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                     out.append((doc, packed, hosts[at], True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    dealt = rows.mapInArrow(invited, "doc_id bigint, packed binary, range bigint, guest boolean")
+    dealt = in_arrow(rows, invited, "doc_id bigint, packed binary, range bigint, guest boolean")
     return dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.asc_nulls_first("packed"))
 
 
@@ -263,7 +263,7 @@ def fingerprinted(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame
         if out:
             yield rows_of(out)
 
-    return neighbours(docs).mapInArrow(each, RESULT)
+    return in_arrow(neighbours(docs), each, RESULT)
 
 
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

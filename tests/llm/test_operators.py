@@ -238,10 +238,46 @@ def test_all_ngrams_price_words(frame):
         assert i < 40 or alone[i].perplexity == pytest.approx(r.perplexity)
 
 
+def units_by_hand(words):
+    """Words between spaces, and two characters on both sides of each space."""
+    marked = [quality.START, *words, quality.END] if words else []
+    return [f" {w} " for w in words] + [f"{a[-2:]:>2} {b[:2]:<2}" for a, b in zip(marked, marked[1:], strict=False)]
+
+
+def test_units_are_those_by_hand(spark):
+    r = random.Random(4)
+    texts = ["", None, " ", "a", "\ta\x0bbc \x0c\r\n", "zero\0 \0 x\0", "é 中 🤗🤗🤗 ab\u3000cd \x1c\x85 e", "same same same same", "x" * 70_000]
+    texts += ["".join(r.choice("ab é中🤗 \n") for _ in range(r.randrange(60))) for _ in range(300)]
+    u = quality.units_of(quality.pa.array(texts, quality.pa.string()))
+    got = defaultdict(list)
+    for owner, i in zip(u.word_owners.tolist(), u.word_ids.tolist(), strict=True):
+        got[owner].append(f" {u.words[i].as_py()} ")
+    for owner, i in zip(u.joint_owners.tolist(), u.joint_ids.tolist(), strict=True):
+        got[owner].append(u.joints[i].as_py())
+    repeats = quality.repeated_words(u, len(texts))
+    for i, text in enumerate(texts):
+        assert Counter(got[i]) == Counter(units_by_hand(words_of(text))) and repeats[i] == by_hand(text)[4]
+    symbols, _ = quality.marks(quality.pa.array([*texts, "#*$%&|<>é|"], quality.pa.string()).slice(1))
+    assert symbols.tolist() == [sum((t or "").count(c) for c in "#*$%&|<>") for t in texts[1:]] + [9]
+    none = quality.units_of(quality.pa.array([], quality.pa.string()))
+    assert len(none.word_ids) == len(none.joint_ids) == 0
+
+
+def test_counts_are_those_by_hand(frame, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_UNITS", 50)
+    texts, langs = [syllables(i, (EN, FR)[i % 2], 30) for i in range(60)] + [None, ""], ["en", "fr"] * 30 + [None, "en"]
+    want = Counter()
+    for text, lang in zip(texts, langs, strict=True):
+        for unit in units_by_hand(words_of(text)):
+            want.update((lang or "und", unit[i : i + 4]) for i in range(len(unit) - 3))
+    got = {(r.lang, r.gram): r.n for r in quality.text_ngram_counts(frame(texts, langs)).collect()}
+    assert got == want
+
+
 def test_ngrams_cross_words(frame):
     words = "a bcd e\n f".split()
     grams = lambda s: [s[i : i + 4] for i in range(len(s) - 3)]
-    units = [quality.spread(u) for u in words + quality.joints(words)]
+    units = units_by_hand(words)
     assert sorted(g for u in units for g in grams(u)) == sorted(grams(f" {quality.START} a bcd e f {quality.END} "))
     phrases = ["of the old house", "in a small town", "when rain began", "they had to leave", "by early morning"]
     r = random.Random(3)
@@ -429,6 +465,47 @@ def test_near_duplicates_awkward(awkward, empty):
     assert first.count() == 9 and first.columns == awkward.columns and neardup.grouped(empty).count() == 0
 
 
+def test_large_groups_make_few_pairs(frame, monkeypatch):
+    """Texts with two edits each of one base, which none of them is: candidates must not grow with the group's square."""
+    counts = {}
+    possible = neardup._possible
+    monkeypatch.setattr(neardup, "_possible", lambda rows, similarity: (counts.update(last=(out := possible(rows, similarity)).count()), out)[1])
+    for words, edits in ((5, 2), (2, 4)):
+        pairs = []
+        for n in (100, 400):
+            r = random.Random(n)
+            base = syllables(7, EN, 60)
+            texts = [edited(base, r, edits) for _ in range(n)]
+            want = components_by_hand(list(enumerate(texts)), words)
+            got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.grouped(frame(texts), words=words).collect()}
+            assert got == want
+            pairs.append(counts["last"])
+        assert pairs[1] <= 8 * max(pairs[0], 100) and pairs[1] < 400 * 399 / 2 / 20
+
+
+def test_subgroups_and_outliers(frame):
+    """Groups within a group, a centre that is far from most, and members of very different length."""
+    r = random.Random(8)
+    base = syllables(7, EN, 200)
+    second = edited(base, r, 9)
+    texts = [edited(base, r, r.randint(0, 6)) for _ in range(60)] + [edited(second, r, r.randint(0, 6)) for _ in range(60)]
+    texts += [" ".join(base.split()[:k]) for k in range(100, 200, 9)] + [base + " " + syllables(80 + i, DE, 10 * i) for i in range(12)]
+    r.shuffle(texts)
+    for words in (2, 5):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.grouped(frame(texts), words=words).collect()}
+        assert got == components_by_hand(list(enumerate(texts)), words)
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 70_001} x{i % 9}" for i in range(60_000))
+    whole = neardup.shingles(text, 5, neardup.Words())
+    signature = neardup.super_minhash([whole[:3000]], 240)
+    monkeypatch.setattr(neardup, "PART", 1000)
+    assert (neardup.shingles(text, 5, neardup.Words()) == whole).all()
+    monkeypatch.setattr(neardup, "ELEMENTS", 700)
+    assert (neardup.super_minhash([whole[:3000]], 240) == signature).all()
+
+
 def test_super_minhash_estimates():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
