@@ -11,33 +11,35 @@ too low are both rejected.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches, saved
+from .common import BATCH_ROWS, in_arrow, map_batches, saved, small
 
 ORDER = 4
 START, END = "\x02", "\x03"
 #: The most n-grams that workers hold; the others are joined.
 KEPT = 1 << 21
+SYMBOLS, WHITE = "#*$%&|<>", " \t\n\v\f\r"
+#: Of each byte: 1 for a symbol, 2 for a line feed.
+KINDS = np.array([1 if chr(b) in SYMBOLS else 2 if b == 10 else 0 for b in range(256)], np.uint8)
 UNKNOWN = "und"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-SYMBOLS = "#*$%&|<>"
 #: Half the width of a band, in robust standard deviations; the lower band is as wide.
 WIDTH = 5.0
 #: The least deviation between texts, and of a word within one: near copies of one text must not make a band of no width.
 LEAST_BETWEEN, LEAST_WITHIN = 0.05, 1.0
 #: A unit less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
 UNKNOWN_WORD = 18.0
-REMEMBERED_UNITS = 600_000
+REMEMBERED_UNITS = 300_000
 #: Units whose counts a task holds before it hands them on.
-HELD_UNITS = 400_000
+HELD_UNITS = 300_000
 CHUNK = 256
 
 SCORED = "row bigint, doc_id bigint, lang string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
@@ -56,43 +58,83 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return windowed(units, order).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def joints(words: list[str]) -> list[str]:
-    """What stands on both sides of the space before each word, and behind the last."""
-    if not words:
-        return []
-    return [f"{a[-2:]} {b[:2]}" for a, b in zip([START, *words], [*words, END], strict=True)]
-
-
-def spread(unit: str) -> str:
-    """A word, or a joint (which has a space within), with all characters that its n-grams take in; ORDER is 4."""
-    left, space, right = unit.partition(" ")
-    return f"{left:>2} {right:<2}" if space else f" {left} "
+@dataclass
+class Units:
+    """The units of some texts, each once, and where they occur. A joint is five characters: two on each side of a space."""
+
+    words: pa.Array
+    word_ids: np.ndarray
+    word_owners: np.ndarray
+    joints: pa.Array
+    joint_ids: np.ndarray
+    joint_owners: np.ndarray
+
+
+def units_of(texts: pa.Array) -> Units:
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    owners = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    ids, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    nothing = pc.index(words, pa.scalar("", words.type)).as_py()
+    if nothing >= 0:
+        owners, ids = owners[ids != nothing], ids[ids != nothing]
+    ends = pc.utf8_lpad(pc.utf8_slice_codeunits(words, -2), 2).dictionary_encode()
+    begins = pc.utf8_rpad(pc.utf8_slice_codeunits(words, 0, 2), 2).dictionary_encode()
+    lefts = pa.concat_arrays([ends.dictionary, pa.array([f" {START}"], words.type)])
+    rights = pa.concat_arrays([begins.dictionary, pa.array([f"{END} "], words.type)])
+    left, right = (x.indices.to_numpy().astype(np.int64)[ids] for x in (ends, begins))
+    first = np.r_[True, owners[1:] != owners[:-1]][: len(ids)]
+    last = np.r_[owners[1:] != owners[:-1], True][: len(ids)]
+    before = np.where(first, len(lefts) - 1, np.roll(left, 1))
+    keys = np.concatenate([before * len(rights) + right, left[last] * len(rights) + len(rights) - 1])
+    found, joint_ids = np.unique(keys, return_inverse=True)
+    joints = pc.binary_join_element_wise(lefts.take(pa.array(found // len(rights))), rights.take(pa.array(found % len(rights))), pa.scalar(" ", words.type))
+    return Units(words, ids, owners, joints, joint_ids, np.concatenate([owners, owners[last]]))
+
+
+def by_language(langs: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language with its rows; rows without one are left out."""
+    coded = langs.dictionary_encode()
+    ids = coded.indices.fill_null(-1).to_numpy()
+    for i, lang in enumerate(coded.dictionary.to_pylist()):
+        yield lang, np.flatnonzero(ids == i)
 
 
 def text_ngram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all texts, their words parted by one space. Tasks count units beforehand, within a bound of memory."""
+    schema = pa.schema([("lang", pa.string()), ("unit", pa.large_string()), ("n", pa.int64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[str]] = defaultdict(Counter)
+        held, rows = [], 0
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, spread(u), n) for lang, units in held.items() for u, n in units.items()]
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "unit"]).aggregate([("n", "sum")]).rename_columns(schema.names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from merged().cast(pa.schema([("lang", pa.string()), ("unit", pa.string()), ("n", pa.int64())])).to_batches(HELD_UNITS)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "unit", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                words = WORD.findall(text.as_py() or "")
-                if words:
-                    held[lang].update(words)
-                    held[lang].update(joints(words))
-                if sum(map(len, held.values())) > HELD_UNITS:
-                    yield out()
-        if held:
-            yield out()
-
-    counted = docs.select(language().alias("lang"), "text").mapInArrow(each, "lang string, unit string, n bigint")
-    units = counted.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                for lang, which in by_language(batch.column("lang")):
+                    u = units_of(batch.column("text").take(pa.array(which)))
+                    for unit, ids in ((u.words, u.word_ids), (u.joints, u.joint_ids)):
+                        n = np.bincount(ids, minlength=len(unit))
+                        held.append(pa.table([pa.array([lang] * len(unit), pa.string()), unit, pa.array(n)], schema=schema).filter(pa.array(n > 0)))
+                        rows += held[-1].num_rows
+                if rows > 2 * HELD_UNITS:
+                    held[:] = [merged()]
+                    rows = held[0].num_rows
+                    if rows > HELD_UNITS:
+                        yield from out()
+                        rows = 0
+        if rows:
+            yield from out()
+
+    counted = in_arrow(docs.select(language().alias("lang"), "text"), each, "lang string, unit string, n bigint")
+    unit = F.when(F.instr("unit", " ") > 0, F.col("unit")).otherwise(F.concat(F.lit(" "), "unit", F.lit(" ")))
+    units = counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")).select("lang", unit.alias("unit"), "n")
     return windowed(units).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -121,7 +163,7 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
         y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
         rule = [F.coalesce(k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}"), F.lit(0.5 + 0.25 * k)) for k in (1, 2, 3)]
         bounded = [F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)).alias(f"d{k}") for k, d in enumerate(rule, 1)]
-        discounts = level.groupBy("lang").agg(*counts).select("lang", *bounded)
+        discounts = small(saved(level.groupBy("lang").agg(*counts).select("lang", *bounded), f"discounts{n}"))
         context = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("a1"), F.count_if(F.col("c") == 2).alias("a2"), F.count_if(F.col("c") >= 3).alias("a3"), F.sum("tokens").alias("context_tokens"), F.count(F.lit(1)).alias("kinds"))
         mass = (F.col("d1") * F.col("a1") + F.col("d2") * F.col("a2") + F.col("d3") * F.col("a3")) / F.col("total")
         context = context.join(discounts, "lang").withColumn("back", mass)
@@ -166,33 +208,64 @@ def codes(text: str) -> np.ndarray:
 
 def hashed(rows: DataFrame) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = []
-        for order, lang, gram in zip(*(batch.column(c).to_pylist() for c in ("order", "lang", "gram")), strict=True):
-            h = np.array([salt(lang, order)])
-            for c in codes(gram)[::-1]:  # from the last symbol back, as scoring goes
-                h = step(h, c)
-            keys.append(int(h[0].astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("value").cast(pa.float64())], ["key", "value"])
+        orders, keys = batch.column("order").to_numpy(), np.empty(batch.num_rows, np.uint64)
+        for n in np.unique(orders).tolist():
+            of_order = np.flatnonzero(orders == n)
+            for lang, which in by_language(batch.column("lang").take(pa.array(of_order))):
+                which = of_order[which]
+                symbols = codes("".join(batch.column("gram").take(pa.array(which)).to_pylist()))
+                symbols = symbols.reshape(len(which), len(symbols) // len(which))
+                h = np.full(len(which), salt(lang, n))
+                for k in range(symbols.shape[1] - 1, -1, -1):  # from the last symbol back, as scoring goes
+                    h = step(h, symbols[:, k])
+                keys[which] = h
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("value").cast(pa.float64())], ["key", "value"])
 
     return map_batches(rows.select("order", "lang", "gram", "value"), one, "key bigint, value double")
 
 
+class Table:
+    """Values by sorted 64-bit hashes. As hashes are spread evenly, their first bits tell about where they lie."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        firsts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(keys, firsts).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are there, and their values (0 without)."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        at = self.starts[wanted >> self.shift]
+        last = np.int32(len(self.keys) - 1)
+        found = self.keys[np.minimum(at, last)]
+        behind = np.flatnonzero((found < wanted) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            there = self.keys[at[behind]]
+            found[behind] = there
+            behind = behind[(there < wanted[behind]) & (at[behind] < last)]
+        hit = found == wanted
+        return hit, np.where(hit, self.values[np.minimum(at, last)], 0.0)
+
+
 @dataclass
 class Model:
-    """Sorted hashes of n-grams with log probabilities, and of contexts with log back-off weights."""
+    """Tables of n-grams with log probabilities, and of contexts with log back-off weights."""
 
     order: int
-    grams: np.ndarray
-    logs: np.ndarray
-    contexts: np.ndarray
-    backs: np.ndarray
-
-    def find(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        return hit, np.where(hit, values[at], 0.0)
+    grams: Table
+    contexts: Table
+
+    def back(self, lang: str, n: int, text: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The back-off weights of the contexts of n-grams that end at places of a text."""
+        if not len(self.contexts.keys):
+            return np.zeros(len(where))
+        c = np.full(len(where), salt(lang, n))
+        for k in range(1, n):
+            c = step(c, text[where - k])
+        return self.contexts.find(c)[1]
 
     def words(self, lang: str, words: list[str]) -> np.ndarray:
         """Log probability of each word."""
@@ -211,13 +284,10 @@ class Model:
         while n and open_.any():
             where = at[open_]
             g = np.full(len(where), salt(lang, n))
-            c = g.copy()
             for k in range(n):
                 g = step(g, text[where - k])
-                if k:
-                    c = step(c, text[where - k])
-            hit, value = self.find(self.grams, self.logs, g)
-            _, back = self.find(self.contexts, self.backs, c)
+            hit, value = self.grams.find(g)
+            back = self.back(lang, n, text, where)
             index = np.flatnonzero(open_)
             if n == self.order:
                 whole[owner[index[~hit]]] = False
@@ -231,18 +301,18 @@ def padded(word: str, order: int = ORDER) -> str:
     return START * (order - 1) + word + END
 
 
-def arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def held(rows: DataFrame) -> Table:
     got = hashed(rows).toArrow()
     keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
     values = got.column("value").to_numpy().astype(np.float32)
     by = np.lexsort((values, keys))
-    return keys[by], values[by]
+    return Table(keys[by], values[by])
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
     """The whole model of words in memory."""
     probabilities, weights = kneser_ney(saved(ngram_counts(docs, order), "ngrams"), order)
-    return Model(order, *arrays(probabilities), *arrays(weights))
+    return Model(order, held(probabilities), held(weights))
 
 
 def frequent(grams: DataFrame, kept: int) -> tuple[DataFrame, bool]:
@@ -258,17 +328,13 @@ def frequent(grams: DataFrame, kept: int) -> tuple[DataFrame, bool]:
     return grams.where(level >= least), held <= kept
 
 
-def repeated(words: list[str]) -> int:
-    """Words that lie in a window of three words which the text has twice or more."""
-    n = len(words)
+def repeated(ids: np.ndarray) -> int:
+    """Words (by their numbers) that lie in a window of three words which the text has twice or more."""
+    n = len(ids)
     if n < 4:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    if len(number) == n:
-        return 0
-    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-    _, which, count = np.unique(pairs[:-1] * np.int64(len(number)) + ids[2:], return_inverse=True, return_counts=True)
+    _, pairs = np.unique(ids[:-1] * (ids.max() + 1) + ids[1:], return_inverse=True)
+    _, which, count = np.unique(pairs[:-1] * (ids.max() + 1) + ids[2:], return_inverse=True, return_counts=True)
     twice = count[which] > 1
     inside = np.zeros(n, bool)
     for k in range(3):
@@ -276,8 +342,36 @@ def repeated(words: list[str]) -> int:
     return int(inside.sum())
 
 
+def repeated_words(u: Units, texts: int) -> np.ndarray:
+    """repeated() of each text. Texts whose windows all have hashes of their own have none; the others are read one by one."""
+    out = np.zeros(texts, np.int64)
+    if len(u.word_ids) < 4:
+        return out
+    h = u.word_owners[2:].astype(np.uint64)
+    for k in range(3):
+        h = step(h, u.word_ids[k : len(u.word_ids) - 2 + k].astype(np.uint64))
+    inside = u.word_owners[2:] == u.word_owners[:-2]
+    owners, h = u.word_owners[2:][inside], h[inside]
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice):
+        starts = np.searchsorted(u.word_owners, np.arange(texts + 1))
+        for i in np.unique(owners[np.isin(h, twice)]).tolist():
+            out[i] = repeated(u.word_ids[starts[i] : starts[i + 1]])
+    return out
+
+
+def marks(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """How many symbols and line feeds each text has, by the bytes: ASCII characters are no parts of others."""
+    binary = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, data = binary.buffers()
+    ends = np.frombuffer(offsets, np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    kinds = KINDS[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data else np.zeros(0, np.uint8)
+    return tuple(np.diff(np.searchsorted(np.flatnonzero(kinds == k), ends - ends[0])) for k in (1, 2))
+
+
 def repeated_lines(text: str) -> int:
-    lines = [x for x in text.split("\n") if WORD.search(x)]
+    lines = [x for x in text.split("\n") if x.strip(WHITE)]
     return len(lines) - len(set(lines))
 
 
@@ -286,8 +380,8 @@ def statistics(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     probabilities, _ = kneser_ney(saved(text_ngram_counts(docs), "ngrams"))
     table = saved(probabilities.where(F.col("order") == ORDER), "prices")
     known_grams, complete = frequent(table, kept)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    scored = saved(score(docs, Model(ORDER, *arrays(known_grams), *none)), "scored")
+    no_contexts = Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    scored = saved(score(docs, Model(ORDER, held(known_grams), no_contexts)), "scored")
     log_p = F.col("log_p")
     if not complete:
         scored = scored.join(joined_prices(scored, table), "row", "left")
@@ -309,34 +403,42 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tables: dict[str, dict[str, float]] = {}  # of a worker, by language; nan for what the model lacks
 
+    def prices(lang: str, lm: Model, units: list[str]) -> np.ndarray:
+        known = tables.setdefault(lang, {})
+        new = [u for u in units if u not in known]
+        if new:
+            log_p, whole = lm.units(lang, new)
+            known.update(zip(new, np.where(whole, np.maximum(log_p, -UNKNOWN_WORD), np.nan).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, units), np.float64, len(units))
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lm = shared.value
-        langs = batch.column("lang").to_pylist()
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        words = [WORD.findall(t) for t in texts]
-        units = [[*w, *joints(w)] for w in words]
+        n = batch.num_rows
         if sum(map(len, tables.values())) > REMEMBERED_UNITS:
             tables.clear()
-        for lang in set(langs):
-            known = tables.setdefault(lang, {})
-            new = list(set().union(*(u for u, x in zip(units, langs, strict=True) if x == lang)) - known.keys())
-            log_p, whole = lm.units(lang, list(map(spread, new)))
-            known.update(zip(new, np.where(whole, np.maximum(log_p, -UNKNOWN_WORD), np.nan).tolist(), strict=True))
-        rows = []
-        ids = [batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")]
-        for row, doc, text_hash, lang, text, ws, us in zip(*ids, langs, texts, words, units, strict=True):
-            known, missing = tables[lang], []
-            total = sum(map(known.__getitem__, us))
-            if total != total:
-                lacking = Counter(u for u in us if known[u] != known[u])
-                total = sum(known[u] for u in us if u not in lacking)
-                missing = [{"unit": spread(u), "times": n} for u, n in lacking.items()]
-            rows.append((row, doc, lang, text_hash, len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated(ws), float(total), missing))
-        types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.float64(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())])))
-        names = [f.split()[0] for f in SCORED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", language().alias("lang"), F.xxhash64("text").alias("text_hash"), "text"), one, SCORED)
+        n_words, word_chars, n_repeat, log_p = (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n))
+        missing: list[list[dict]] = [[] for _ in range(n)]
+        for lang, which in by_language(batch.column("lang")):
+            u, k = units_of(batch.column("text").take(pa.array(which))), len(which)
+            n_words[which] = np.bincount(u.word_owners, minlength=k)
+            word_chars[which] = np.bincount(u.word_owners, pc.utf8_length(u.words).to_numpy()[u.word_ids], k).astype(np.int64)
+            n_repeat[which] = repeated_words(u, k)
+            for units, ids, owners in (([f" {w} " for w in u.words.to_pylist()], u.word_ids, u.word_owners), (u.joints.to_pylist(), u.joint_ids, u.joint_owners)):
+                price = prices(lang, shared.value, units)[ids]
+                lacking = np.isnan(price)
+                log_p[which] += np.bincount(owners, np.where(lacking, 0.0, price), k)
+                pairs, times = np.unique(owners[lacking] * len(units) + ids[lacking], return_counts=True)
+                for pair, count in zip(pairs.tolist(), times.tolist(), strict=True):
+                    missing[which[pair // len(units)]].append({"unit": units[pair % len(units)], "times": count})
+        symbols, feeds = marks(batch.column("text"))
+        lines = np.zeros(n, np.int64)
+        for i in np.flatnonzero(feeds).tolist():
+            lines[i] = repeated_lines(batch.column("text")[i].as_py())
+        counts = [pa.array(x, pa.int64()) for x in (n_words, word_chars, symbols, lines, n_repeat)]
+        units_type = pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())]))
+        arrays = [*(batch.column(c) for c in ("row", "doc_id", "lang", "text_hash")), *counts, pa.array(log_p), pa.array(missing, units_type)]
+        return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCORED.split(", ")])
+
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), language().alias("lang"), F.xxhash64("text").alias("text_hash"), "text"), one, SCORED)
 
 
 def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -345,13 +447,14 @@ def judged(stats: DataFrame, width: float = WIDTH) -> DataFrame:
     stats = stats.withColumn("base_failed", failed)
     # Each text once, however many copies it has.
     good = stats.where(~F.col("base_failed")).groupBy("lang", "text_hash").agg(F.min("surprise").alias("surprise"), F.min("n_words").alias("n_words"))
-    middle = good.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
+    good = saved(good, "good")
+    middle = small(saved(good.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle")), "middles"))
     off = good.join(middle, "lang").withColumn("off", F.abs(F.col("surprise") - F.col("middle")))
     spread = off.groupBy("lang").agg(
         (1.4826 * F.percentile_approx(F.when(F.col("n_words") >= 400, F.col("off")), 0.5, 10_000)).alias("between"),
         (1.4826 * F.percentile_approx(F.when(F.col("n_words") < 400, F.col("off") * F.sqrt("n_words")), 0.5, 10_000)).alias("within"),
     )
-    bands = middle.join(spread, "lang")
+    bands = small(saved(spread.join(middle, "lang"), "bands"))
     between = F.greatest(F.coalesce("between", F.lit(0.1)), F.lit(LEAST_BETWEEN))
     within = F.greatest(F.coalesce("within", F.lit(4.0)), F.lit(LEAST_WITHIN))
     half = width * F.sqrt(between**2 + within**2 / F.greatest("n_words", F.lit(1)))
