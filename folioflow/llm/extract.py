@@ -1,23 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped, each block of text on a line of its own. The text lengths summed over windows of lines rise at the start
-of the article (a surge) and fall behind it (a dive); the stretch between them with the most text is the article. What its
-element holds besides (a heading above, a short last paragraph) belongs to it. Elements that are never article text, by
-name or by the words of their class, id or role, are left out before lengths are summed.
+Markup is stripped, each block of text on a line of its own. Characters count if they stand in no link; elements that are never
+article text, by name or by the words of their class, id or role, become empty lines. The counts summed over windows of lines
+rise where text begins (a surge) and are zero where it ends (a dive): the lines from dive to dive around a surge are a
+stretch. The stretch with the most text is the article, with other text within its element up to the last dive.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
 WINDOW = 3
-#: A window surges at this share of the mean of the non-empty windows, or at this many characters.
+#: A window surges at this share of the mean of the windows with text, or at this many characters.
 SURGE_SHARE, SURGE_CHARS = 0.5, 120
 
 # Elements by what HTML says of them.
@@ -37,14 +40,19 @@ ASIDES = frozenset(
 #: Elements that hold the article itself, whatever their class says.
 CONTAINERS = frozenset("html body main article".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements that hold the article; within them, only whole names count, and no ids or classes of what is text by its element.
 ARTICLES = frozenset("main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTS = HEADINGS | {"section", "p"}
 WORDS = re.compile(r"[a-z]+")
-UNFINISHED = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
+#: The name here of an `a` element that is a link.
+LINK = "a href"
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+# What ends an open element: elements of these names, unless one of the limits is nearer.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
 def sidelined(name: str, attributes: str, within: bool = False) -> bool:
@@ -64,147 +72,241 @@ def sidelined(name: str, attributes: str, within: bool = False) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[int, ...]]]:
-    """The text of each block that is not left out, with the numbers of the block elements within body around it, outermost first."""
-    out: list[tuple[str, tuple[int, ...]]] = []
-    text: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements and their numbers; inline ones too, as one may be left out
-    skip_from: int | None = None  # depth at which an element that is left out began
-    number = 0
-
-    def end_block() -> None:
-        nonlocal text
-        line = " ".join(unescape("".join(text)).split())
-        if line:
-            out.append((line, tuple(n for name, n in stack if name in BLOCKS and name not in ("html", "body"))))
-        text = []
-
-    def close(depth: int) -> None:
-        nonlocal skip_from
-        if skip_from is None and any(name in BLOCKS for name, _ in stack[depth:]):
-            end_block()
-        del stack[depth:]
-        if skip_from is not None and depth <= skip_from:
-            skip_from = None
-
-    at, size = 0, len(html)
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """Pieces of a page in order: (text, "", "") or ("", name, attributes), the name of an end tag with a / in front.
+
+    Every character is passed over a bounded number of times: a tag whose quotes never close ends the reading of quotes.
+    """
+    at, size, quotes = 0, len(html), True
     while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            if skip_from is None:
-                text.append(UNFINISHED.sub("", html[at:]))
-            break
-        if skip_from is None and m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        ending, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if ending:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                blocking = next((i for i in range(len(stack) - 1, depth, -1) if stack[i][0] in BLOCKS), None) if name not in BLOCKS else None
-                if blocking is None:
-                    close(depth)
-                elif skip_from != depth:
-                    del stack[depth]  # an inline element closed across blocks
-                    if skip_from is not None and skip_from > depth:
-                        skip_from -= 1
-            elif name == "p" and skip_from is None:
-                end_block()
+        begin = html.find("<", at)
+        if begin < 0:
+            yield html[at:], "", ""
+            return
+        if begin > at:
+            yield html[at:begin], "", ""
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = size if end < 0 else end + 3
             continue
-        if name == "br":
-            text.append(" ")
+        ending = html.startswith("/", begin + 1)
+        name = NAME.match(html, begin + 1 + ending)
+        if name is None:
+            if html[begin + 1 : begin + 2] in ("!", "?", "/"):
+                end = html.find(">", begin)
+                at = size if end < 0 else end + 1
+            else:
+                yield "<", "", ""
+                at = begin + 1
             continue
+        end = tag_end(html, name.end()) if quotes else -1
+        if end < 0:
+            quotes, end = False, html.find(">", name.end())
+            if end < 0:  # an unfinished tag
+                return
+        at = end + 1
+        lower = name[0].lower()
+        yield "", "/" * ending + lower, html[name.end() : end]
+        if not ending and lower in RAW:
+            close = re.compile(rf"</{re.escape(lower)}\b[^>]*>", re.I).search(html, at)
+            if lower not in LEFT_OUT:
+                yield html[at : close.start() if close else size], "", ""
+            at = close.end() if close else size
+            yield "", f"/{lower}", ""
+
+
+def tag_end(html: str, at: int) -> int:
+    """Where the > of a tag stands, outside of quotes; -1 if nowhere."""
+    while True:
+        at = PLAIN.match(html, at).end()
+        if at >= len(html):
+            return -1
+        if html[at] == ">":
+            return at
+        at = html.find(html[at], at + 1) + 1
+        if not at:
+            return -1
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int  # characters outside of links; all of a heading
+    element: int  # the block element around it
+
+
+class Page:
+    """The lines of a page, and its block elements: the element around each, and the last element that begins within it."""
+
+    def __init__(self, html: str) -> None:
+        self.lines: list[Line] = []
+        self.parent, self.last = [0], [0]
+        self._stack: list[tuple[str, int]] = []  # open elements and their numbers (0 for those without one); "" once closed
+        self._open: dict[str, list[int]] = {}  # places in the stack by name
+        self._blocks: list[int] = []  # places of block elements
+        self._element, self._skip = 0, -1  # the innermost numbered element; the place where one that is left out began
+        self._text: list[str] = []
+        self._linked, self._links, self._inside = 0, 0, 0  # characters in links; open links; open elements that hold an article
+        for text, name, attributes in tokens(html):
+            if text:
+                if self._skip < 0:
+                    self._text.append(text)
+                    if self._links:
+                        self._linked += len(text)
+            elif name.startswith("/"):
+                self._end(name[1:])
+            else:
+                self._begin(name, attributes)
+        self._close(0)
+        self._flush()
+
+    def _flush(self, heading: bool = False) -> None:
+        if self._text:
+            raw = "".join(self._text)
+            line = " ".join(unescape(raw).split())
+            if line:
+                weight = len(line) if heading or self._linked < 0.9 * len(raw) else 0
+                self.lines.append(Line(line, weight, self._element))
+            self._text, self._linked = [], 0
+
+    def _nearest(self, names: Iterable[str]) -> int:
+        return max((self._open[n][-1] for n in names if self._open.get(n)), default=-1)
+
+    def _begin(self, name: str, attributes: str) -> None:
         if name in VOID:
-            if name == "hr" and skip_from is None:
-                end_block()
-            continue
-        if name in ENDS_PARAGRAPH or name in ("tr", "td", "th"):
-            same = {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr", "td": "td th", "th": "td th"}.get(name, "").split()
-            limits = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(name, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in same or stack[i][0] == "p" and name in ENDS_PARAGRAPH:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS and not same:
-                    break
-        if name in BLOCKS and skip_from is None:
-            end_block()
-        number += 1
-        if not attributes.rstrip().endswith("/") or name in BLOCKS:
-            if skip_from is None and sidelined(name, attributes, any(n in ARTICLES for n, _ in stack)):
-                skip_from = len(stack)
-            stack.append((name, number))
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                close(len(stack) - 1)
-                at = end.end() if end else size
-    if skip_from is None:
-        end_block()
-    return out
+            if name == "br":
+                self._text.append(" ")
+            elif name == "hr" and self._skip < 0:
+                self._flush()
+            return
+        if name in ENDS:
+            same = self._nearest(ENDS[name])
+            if same > self._nearest(LIMITS[name]):
+                self._close(same)
+        if name in ENDS_PARAGRAPH and self._blocks and self._stack[self._blocks[-1]][0] == "p":
+            self._close(self._blocks[-1])
+        if name == "a":
+            if self._links:
+                self._end("a")
+            if "href" in attributes.lower():
+                name = LINK
+        block = name in BLOCKS
+        if block and self._skip < 0:
+            self._flush()
+        if attributes.rstrip().endswith("/") and not block:
+            return
+        place, number = len(self._stack), 0
+        if self._skip < 0 and sidelined(name, attributes, self._inside > 0):
+            if block:
+                self.lines += [Line("", 0, self._element)] * WINDOW
+            self._skip = place
+        if block:
+            self._blocks.append(place)
+            if name not in ("html", "body"):
+                number = len(self.parent)
+                self.parent.append(self._element)
+                self.last.append(number)
+                self._element = number
+        self._inside += name in ARTICLES
+        self._links += name == LINK
+        self._stack.append((name, number))
+        self._open.setdefault(name, []).append(place)
 
+    def _end(self, name: str) -> None:
+        place = self._nearest([name, LINK] if name == "a" else [name])
+        if place < 0:
+            if name == "p" and self._skip < 0:
+                self._flush()
+        elif name in BLOCKS or not self._blocks or self._blocks[-1] < place:
+            self._close(place)
+        elif self._skip != place:  # an inline element closed across blocks
+            name = self._stack[place][0]
+            self._stack[place] = ("", 0)
+            self._open[name].pop()
+            self._links -= name == LINK
 
-def windows(lengths: list[int], window: int = WINDOW) -> list[int]:
-    """Text length of the window that begins at each line."""
-    return [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    def _close(self, place: int) -> None:
+        """Closes all elements from a place of the stack on."""
+        while len(self._stack) > place:
+            name, number = self._stack.pop()
+            here = len(self._stack)
+            if name and self._open[name][-1:] == [here]:
+                self._open[name].pop()
+            if self._blocks and self._blocks[-1] == here:
+                if self._skip < 0:
+                    self._flush(name in HEADINGS)
+                self._blocks.pop()
+            if number:
+                self.last[number] = len(self.parent) - 1
+                self._element = self.parent[number]
+            self._inside -= name in ARTICLES
+            self._links -= name == LINK
+            if self._skip >= here:
+                self._skip = -1
 
+    def holds(self, element: int, line: Line) -> bool:
+        return not element or element <= line.element <= self.last[element]
 
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """First and last line of each stretch from a surge to its dive.
+    def joins(self, at: int, element: int) -> bool:
+        """Whether a line without weight belongs to an element: it has text, and no window around it is all links."""
+        near = self.lines[max(0, at - WINDOW + 1) : at + WINDOW]
+        links = sum(bool(line.text) and not line.weight and self.holds(element, line) for line in near)
+        return bool(self.lines[at].text) and element > 0 and self.holds(element, self.lines[at]) and links < WINDOW
 
-    A surge is a window that rises over the level and the text after which stays over it; a dive is where no text follows on.
-    """
-    sums = windows(lengths, window)
-    level = min(SURGE_CHARS, SURGE_SHARE * sum(sums) / len(sums))
+    def around(self, lines: list[Line]) -> int:
+        """The innermost element that holds all lines, 0 for the body."""
+        found = lines[0].element if lines else 0
+        for line in lines:
+            while not self.holds(found, line):
+                found = self.parent[found]
+        return self.parent[found] if len(lines) == 1 else found
+
+
+def windows(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The characters of the window that ends at each line; behind the last line, lines are empty."""
+    sums = np.concatenate([np.zeros(window, np.int64), np.cumsum([*weights, *[0] * (window - 1)])])
+    return (sums[window:] - sums[:-window]).tolist()
+
+
+def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """First and last line of each run of text, from where windows leave zero to where they are zero again, and its largest window."""
+    sums = windows(weights, window)
     out, i = [], 0
     while i < len(sums):
-        if sums[i] < level:
-            i += 1
-            continue
         start = i
-        while i < len(sums) and sums[i] >= level:
+        while i < len(sums) and sums[i]:
             i += 1
-        end = min(i - 1 + window - 1, len(lengths) - 1)
-        out.append((start, end))
+        if i > start:
+            out.append((start, i - window, max(sums[start:i])))
+        i += i == start
     return out
 
 
-def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last line of the article: the stretch with the most text."""
-    return max(stretches(lengths, window), key=lambda s: sum(lengths[s[0] : s[1] + 1]), default=(0, len(lengths) - 1))
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """The runs in which a window surges."""
+    some = [s for s in windows(weights, window) if s]
+    level = min(SURGE_CHARS, SURGE_SHARE * sum(some) / max(1, len(some)))
+    return [(start, end) for start, end, most in runs(weights, window) if most >= level]
 
 
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by two line feeds; empty if there is none."""
-    found = blocks(html or "")
+    page = Page(html or "")
+    weights = [line.weight for line in page.lines]
+    found = stretches(weights)
     if not found:
         return ""
-    first, last = stretch([len(t) for t, _ in found])
-    # The innermost element around all of the stretch, if there is one within the body.
-    path = found[first][1]
-    for _, other in found[first + 1 : last + 1]:
-        k = next((i for i, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))
-        path = path[:k]
-    if first == last and len(path) > 1:  # one block: the element that holds it
-        path = path[:-1]
-    if path:
-        while first and found[first - 1][1][: len(path)] == path:
-            first -= 1
-        while last + 1 < len(found) and found[last + 1][1][: len(path)] == path:
-            last += 1
-    else:  # body itself holds the article: so it does other stretches with blocks of its own, and what is next to them
-        for start, end in stretches([len(t) for t, _ in found]):
-            if any(len(p) <= 1 for _, p in found[start : end + 1]):
-                first, last = min(first, start), max(last, end)
-        while first and len(found[first - 1][1]) <= 1:
-            first -= 1
-        while last + 1 < len(found) and len(found[last + 1][1]) <= 1:
-            last += 1
-    return "\n\n".join(t for t, _ in found[first : last + 1])
+    article = first, last = max(found, key=lambda s: sum(weights[s[0] : s[1] + 1]))
+    element = page.around([line for line in page.lines[first : last + 1] if line.weight])
+    # What else the element holds is interrupted text: a dive at an advert does not end the article. The body holds all else too.
+    for start, end in [r[:2] for r in runs(weights)] if element else found:
+        if (end < article[0] or start > article[1]) and all(page.holds(element, line) for line in page.lines[start : end + 1] if line.weight):
+            first, last = min(first, start), max(last, end)
+    # Lines next to the ends that are all link: fewer than would make a window of no text.
+    for _ in range(WINDOW - 1):
+        first -= first > 0 and page.joins(first - 1, element)
+        last += last + 1 < len(page.lines) and page.joins(last + 1, element)
+    return "\n\n".join(line.text for line in page.lines[first : last + 1] if line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

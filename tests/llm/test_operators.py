@@ -348,10 +348,54 @@ def test_extraction(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
-def test_stretch():
-    assert extract.stretch([5, 5, 5, 300, 10, 250, 5, 5, 5, 5, 5]) [0] in (1, 2, 3)
-    first, last = extract.stretch([3, 3, 3, 3, 3, 400, 500, 450, 3, 3, 3, 3, 3, 3])
-    assert first <= 5 and last >= 7 and last <= 9
+def stretches_by_hand(weights, window=3):
+    """Lines are cut where a whole window of them is empty; parts in which no window surges go."""
+    padded = [0] * (window - 1) + weights + [0] * (window - 1)
+    sums = [sum(padded[i : i + window]) for i in range(len(padded) - window + 1)]
+    some = [x for x in sums if x]
+    level = min(extract.SURGE_CHARS, extract.SURGE_SHARE * sum(some) / len(some)) if some else 0
+    out, at = [], [i for i, w in enumerate(weights) if w]
+    while at:
+        k = next((k for k in range(1, len(at)) if at[k] - at[k - 1] > window), len(at))
+        part, at = at[:k], at[k:]
+        if max(sums[part[0] : part[-1] + window]) >= level:
+            out.append((part[0], part[-1]))
+    return out
+
+
+def test_stretches_are_those_by_hand():
+    assert extract.stretches([0, 0, 0, 5, 300, 0, 250, 5, 0, 0, 0, 5, 0]) == [(3, 7)]  # from dive to dive; the last 5 has no surge
+    r = random.Random(6)
+    for _ in range(400):
+        weights = [r.choice([0, 0, 0, r.randrange(1, 30), r.randrange(400)]) for _ in range(r.randrange(30))]
+        assert extract.stretches(weights) == stretches_by_hand(weights)
+
+
+def test_windows_decide(spark, monkeypatch):
+    """Without the surge and the dive, other text comes out: on whole pages, and where only links tell a menu."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    right = [extract.main_text(h) for h in pages]
+    long = "A paragraph of the article that goes on for long enough to count as text by itself, as it has many words. " * 2
+    links = "".join(f"<p><a href=/{i}>Some other page {i} of this site</a></p>" for i in range(6))
+    plain = f"<body><div>{links}</div><div><h1><a href=x>Title</a></h1><p>{long}</p><p>Short.</p><p>{long}</p><p><a href=y>Source</a></p></div><div>{links}</div></body>"
+    assert extract.main_text(plain).split("\n\n") == ["Title", long.strip(), "Short.", long.strip(), "Source"]
+    wrong = {"first": lambda w: [(0, 0)], "last": lambda w: [(len(w) - 1,) * 2], "longest": lambda w: [(w.index(max(w)),) * 2]}
+    for name, choice in wrong.items():
+        monkeypatch.setattr(extract, "stretches", choice)
+        assert np.mean([extract.main_text(h) != x for h, x in zip(pages, right, strict=True)]) > 0.5, name
+    monkeypatch.setattr(extract, "stretches", lambda w: [(0, len(w) - 1)])
+    assert extract.main_text(plain).count("Some other page") == 12
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for part in ("<div>x", '<a "', "</b><i>", "<td>", "<p></p>", '<a ">" ', "<a x='", "<li>a<div>", "<!-", "<script>", "<a href=x>y"):
+        began = time.time()
+        extract.main_text(part * (10**6 // len(part)))
+        assert time.time() - began < 5, part
+    deep = extract.main_text("<div>" * 50_000 + "words of a text " * 20)
+    assert deep == ("words of a text " * 20).strip()
 
 
 def test_article_text_is_kept_whole():
