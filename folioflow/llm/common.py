@@ -25,17 +25,22 @@ BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SMALL_ROWS = 10_000
 
 
+_own_folders: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session for tables that cut lineage; a temporary one only where the session names none."""
+    """The shared folder of the session for tables that cut lineage; a temporary one only where none is named and all runs here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return _own_folders.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='scratch-')}")
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -102,26 +107,30 @@ def words_of(text: str | None) -> list[str]:
 
 @functools.lru_cache(maxsize=4)
 def byte_bpe(path: str):
-    """Encoder for a byte-level BPE file of the `tokenizers` library, with the ids that library gives.
+    """Encoder for a byte-level BPE file of the `tokenizers` library, with the ids that library gives without special tokens added.
 
     The ranks file beside it holds the same vocabulary, which tiktoken encodes about four times as fast; where that file is
-    missing, the library itself encodes. Special tokens' strings in a text are ordinary text.
+    missing, the library itself encodes. It also encodes texts that hold the string of an added token, which has an id of its own.
     """
     from tokenizers import Tokenizer
 
-    ranks_path = path.removesuffix(".json") + ".tiktoken"
+    tokenizer = Tokenizer.from_file(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def by_library(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     try:
-        with open(ranks_path, "rb") as file:
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
     except FileNotFoundError:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return by_library
     import tiktoken
 
     # The pattern of this family of vocabularies, a fixed value, with possessive runs where no backtracking can help.
     pattern = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: by_library(text) if any(t in text for t in added) else plain(text)
 
 
 def vocabulary(name: str) -> str:

@@ -3,7 +3,7 @@
 Documents become pieces of at most `capacity` tokens. The number of distinct lengths is bounded by `capacity`, so the
 placement is planned on the histogram of lengths and never on rows: sum-of-squares packing of one block of at most
 BLOCK_ITEMS pieces, whose length profile is that of the whole table, gives slots that all copies of the block share. What
-division by the number of copies leaves over, and what lay in bins of the block that stayed too empty, is planned again, as
+division by the number of copies leaves over, and at first what lay in bins of the block that stayed too empty, is planned again, as
 smaller blocks, until one block holds the rest. Rows then take slots by their rank within their length.
 """
 
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from .common import byte_bpe, map_batches, saved
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces that one planned block holds at most: bounds the slots table that is broadcast (four numbers a piece).
-BLOCK_ITEMS = 1 << 17
-#: A bin of a repeated block keeps its pieces if at most this share of it is empty.
-SLACK = 0.01
+#: Pieces of a planned block, about. Each level leaves less than one piece of each length for each copy of its block, so that n
+#: pieces take at most LEVELS_BACK + 1 + log(n / BLOCK_ITEMS) / log(BLOCK_ITEMS / capacity) levels: 12 for 10 ** 10 pieces, with 8
+#: bytes for each slot that is broadcast (6 MB; as measured, 2 MB).
+BLOCK_ITEMS = 1 << 16
+#: In the first levels, a bin of a repeated block keeps its pieces only if at most this share of it is empty.
+LEVELS_BACK, SLACK = 8, 0.01
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -79,7 +81,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, slack: float = SLACK) -> tuple[list[tuple], list[tuple], int]:
-    """Spans (length, level, first rank, copies, per copy, first sequence, bins of a copy), slots (length, level, slot, bin, offset), sequences."""
+    """Spans (length, level, first rank, copies, per copy, first sequence, bins of a copy), slots (length, level, bins, offsets), sequences."""
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] = count
@@ -87,20 +89,26 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, block_items: int =
     while left.sum():
         copies = max(1, int(left.sum()) // block_items)
         quota = left // copies
+        while not quota.any():  # many lengths with few pieces each
+            copies = max(1, copies // 2)
+            quota = left // copies
         lengths = np.repeat(np.arange(capacity, 0, -1), quota[:0:-1])
         bin_of, offset_of, bins = sum_of_squares(lengths, capacity)
-        if copies > 1:  # poorly filled bins of a block that repeats go back; the fullest stays, so that each level ends
+        if copies > 1 and level < LEVELS_BACK:  # poorly filled bins of a block that repeats go back; the fullest stays
             filled = np.bincount(bin_of, weights=lengths, minlength=bins)
             keep = filled >= min(filled.max(), capacity * (1 - slack))
             number = np.cumsum(keep) - 1
             chosen = keep[bin_of]
+            if 4 * chosen.sum() < len(lengths):  # little fits well: the block stays as it is
+                chosen[:] = keep[:] = True
+                number = np.arange(bins)
             lengths, offset_of, bin_of, bins = lengths[chosen], offset_of[chosen], number[bin_of[chosen]], int(keep.sum())
             quota = np.bincount(lengths, minlength=capacity + 1)
         first = np.r_[0, np.flatnonzero(np.diff(lengths)) + 1, len(lengths)]
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             s = int(lengths[a])
             spans.append((s, level, int(taken[s]), copies, b - a, sequence, bins))
-            slots += zip([s] * (b - a), [level] * (b - a), range(b - a), bin_of[a:b].tolist(), offset_of[a:b].tolist(), strict=True)
+            slots.append((s, level, bin_of[a:b].tolist(), offset_of[a:b].tolist()))
         taken += quota * copies
         left -= quota * copies
         sequence, level = sequence + bins * copies, level + 1
@@ -124,27 +132,21 @@ def place(rows: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     spans, slots, sequences = plan(histogram, capacity, block_items)
     whole = rows.where(F.col("length") == capacity)
     parts = rows.where(F.col("length") < capacity)
+    # Parts of a length are ranked apart; the table of their sizes has a row for each of at most 10 000 parts of a length.
     salts = max(1, min(10_000, (full + sum(histogram.values())) // 20_000))
     order = ["doc_id", "piece", "start", "ids_crc32"]
     alone = ranked(whole, "length", order, salts * 4).select(*rows.columns, (F.lit(sequences) + F.col("rank")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     span_table = spark.createDataFrame(spans, "length bigint, level int, first bigint, copies bigint, per_copy bigint, sequence bigint, bins bigint")
-    slot_table = spark.createDataFrame(_arrow(slots), "length bigint, level int, slot bigint, bin bigint, offset bigint") if slots else None
-    if slot_table is None:
-        return alone
-    # Both tables are bounded: a span for each length and level, a slot for each piece of a block and level.
+    slot_table = spark.createDataFrame(slots, "length bigint, level int, bins array<int>, offsets array<int>")
+    # Both tables are bounded: a row for each length and level, two numbers for each piece of a block and level.
     spans_by_length = span_table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "level", "copies", "per_copy", "sequence", "bins"))).alias("spans"))
     at = ranked(parts, "length", order, salts).join(F.broadcast(spans_by_length), "length")
     at = at.withColumn("s", F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("rank")), -1)).drop("spans")
     local = F.col("rank") - F.col("s.first")
-    at = at.withColumns({"level": F.col("s.level"), "slot": local % F.col("s.per_copy"), "base": F.col("s.sequence") + F.floor(local / F.col("s.per_copy")) * F.col("s.bins")})
-    placed = at.join(F.broadcast(slot_table), ["length", "level", "slot"])
-    return placed.select(*rows.columns, (F.col("base") + F.col("bin")).cast("bigint").alias("sequence_id"), F.col("offset")).unionByName(alone)
-
-
-def _arrow(slots: list[tuple]) -> pa.Table:
-    table = np.array(slots, dtype=np.int64)
-    names = ("length", "level", "slot", "bin", "offset")
-    return pa.table({n: pa.array(table[:, i], pa.int32() if n == "level" else pa.int64()) for i, n in enumerate(names)})
+    at = at.withColumns({"level": F.col("s.level"), "slot": (local % F.col("s.per_copy") + 1).cast("int"), "base": F.col("s.sequence") + F.floor(local / F.col("s.per_copy")) * F.col("s.bins")})
+    placed = at.join(F.broadcast(slot_table), ["length", "level"])
+    bin_, offset = (F.element_at(c, F.col("slot")).cast("bigint") for c in ("bins", "offsets"))
+    return placed.select(*rows.columns, (F.col("base") + bin_).cast("bigint").alias("sequence_id"), offset.alias("offset")).unionByName(alone)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -55,8 +55,7 @@ def test_encoder_gives_the_library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(BPE))
-    t.encode_special_tokens = True
-    texts = ["", "a  b\n\n c's 12 don't\t", "naïve 中文 🤗<|endoftext|>", "x" * 500, syllables(1, FR, 300), " \n x\r\n  "]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "<|endoftext|", "", "a  b\n\n c's 12 don't\t", "naïve 中文 🤗<|endoftext|>", "x" * 500, syllables(1, FR, 300), " \n x\r\n  "]
     assert [byte_bpe(vocabulary(BPE))(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -97,7 +96,19 @@ def test_sum_of_squares_choice():
     bins, at, n = pack.sum_of_squares(np.array([6, 6, 4, 3, 1]), 10)
     assert n == 2 and at.tolist() == [0, 0, 6, 6, 9]  # 4 fills a bin, 3 then opens gap 1, which 1 fills
     spans, slots, total = pack.plan({5: 1000, 3: 10}, 10, 64)
-    assert total == 500 + 4 and sum(s[3] * s[4] for s in spans) == 1010 and len(slots) == sum(s[4] for s in spans)
+    assert total == 500 + 4 and sum(s[3] * s[4] for s in spans) == 1010 and sum(len(x[2]) for x in slots) == sum(s[4] for s in spans)
+
+
+def test_plans_are_small_at_any_size():
+    for n in (10**6, 10**10):
+        histogram = {s: n // 1023 for s in range(1, 1024)}
+        spans, slots, total = pack.plan(histogram)
+        tokens = sum(s * c for s, c in histogram.items())
+        assert sum(len(x[2]) for x in slots) < 6 * pack.BLOCK_ITEMS and total * 1024 < 1.001 * tokens + 1024
+        placed = Counter()
+        for s, _, _, copies, per_copy, _, _ in spans:
+            placed[s] += copies * per_copy
+        assert placed == histogram
 
 
 def test_sequences_hold_the_tokens(frame):
@@ -123,6 +134,13 @@ def test_viterbi_is_the_best_segmentation():
         assert p.viterbi(marked)[1] == pytest.approx(score)
 
 
+def test_space_marks_of_the_text_come_back():
+    p = pieces.loaded(vocabulary("piece_bpe_32k.model"))
+    for text in ("▁", "▁▁a", "a▁b", " ▁ ", "x ▁\n▁y▁", "a  b", "  "):
+        assert p.decode(p.encode(text)[0]) == text
+    assert len(p.encode("a▁b")[0]) == len(p.encode("a")[0]) + 3 + len(p.viterbi("b")[0])
+
+
 def test_pieces_columns(awkward, empty):
     model = vocabulary("piece_bpe_32k.model")
     encoded = pieces.encode(awkward, model)
@@ -583,6 +601,16 @@ def test_sharding(frame, awkward, empty):
     assert shard.shard_rows(awkward).count() == 10 and shard.shard_rows(empty).count() == 0
 
 
+def test_order_is_of_seed_and_records_alone(frame, spark, tmp_path):
+    docs = frame(["same"] * 300 + [f"t{i}" for i in range(700)]).drop("doc_id")  # 300 records are wholly equal
+    docs.write.parquet(f"{tmp_path}/d")
+    found = []
+    for parts, order in ((1, "text"), (7, "rank"), (3, "n_chars")):
+        rows = shard.shard_rows(spark.read.parquet(f"{tmp_path}/d").repartition(parts, F.rand(parts)).sortWithinPartitions(order), bucket_records=100).collect()
+        found.append(sorted((r.text, r.shard, r.slot) for r in rows))
+    assert found[0] == found[1] == found[2] and max(Counter(s for t, s, _ in found[0] if t == "same").values()) < 80
+
+
 def test_shards_are_written(frame, tmp_path, spark):
     shard.write_shards(shard.shard_rows(frame([str(i) for i in range(40)])), f"file://{tmp_path}/out")
     assert len(list((tmp_path / "out").glob("shard=*"))) == 8 and spark.read.parquet(f"file://{tmp_path}/out").count() == 40
@@ -620,6 +648,27 @@ def test_rollup(spark, tmp_path):
         kept.commit("../x", one)
 
 
+def test_totals_are_merged_and_batches_count_once(spark, tmp_path):
+    kept = rollup.Rollup(spark, f"file://{tmp_path}/m", merge_after=3)
+    want = Counter()
+    for i in range(11):
+        changes = spark.createDataFrame([("insert", f"s{i % 2}", "en", "v", i, None)], rollup.CHANGES)
+        assert kept.commit(f"b{i}", changes) and not kept.commit(f"b{i // 2}", changes)
+        want[f"s{i % 2}"] += i
+        assert {r.source: r.tokens for r in kept.totals().collect()} == dict(want) | ({} if i else {"s0": 0})
+    newest, _, held, later = kept._state()
+    assert newest == 3 and len(held) == 9 and len(later) == 2 and len(kept._marks("commits")) == 5
+    # Two writers of one batch, and of one merge: one of each counts.
+    changes = spark.createDataFrame([("insert", "s0", "en", "v", 5, None)], rollup.CHANGES)
+    for folder in ("z1", "a2"):
+        rollup.deltas(changes).write.parquet(f"file://{tmp_path}/m/rows/{folder}")
+    assert kept._mark("commits", "late", "z1") and kept._mark("commits", "late", "a2") and not kept._mark("commits", "late", "z3")
+    assert {r.source: r.tokens for r in kept.totals().collect()} == {"s0": want["s0"] + 5, "s1": want["s1"]}
+    # Rows without a mark, as a lost writer leaves them, have no effect.
+    rollup.deltas(changes).write.parquet(f"file://{tmp_path}/m/rows/lost")
+    assert kept.totals().agg(F.sum("tokens")).first()[0] == sum(want.values()) + 5
+
+
 def test_rollup_history(spark, frame, tmp_path):
     docs = frame([syllables(i, EN, 5 + i) for i in range(25)] + [None, ""])
     kept = rollup.Rollup(spark, f"file://{tmp_path}/h")
