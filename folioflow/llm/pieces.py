@@ -92,13 +92,24 @@ class Pieces(dict):
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
-        marked = self.normalize(text or "")
-        if not marked:
+        parts = (text or "").split(SPACE) if self.byte_ids else [text or ""]
+        if parts == [""]:
             return np.zeros(0, "<i4"), 0.0
+        found = self._found(SPACE + parts[0].replace(" ", SPACE))
+        for part in parts[1:]:  # a mark in the text itself is written by its bytes, so that it is told from a space
+            found += [self.own_mark, *self._found(part.replace(" ", SPACE))]
+        return np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum(f[1] for f in found)
+
+    def _found(self, marked: str) -> list[tuple[bytes, float]]:
+        if not marked:
+            return []
         words = self.cut.split(marked) if self.cut else [marked]
         # A line feed that belongs to no longer piece is a word of its own, which keeps the words around it common.
-        found = [self[w] for x in words for w in ((x,) if "\n" not in x or not self.lines else re.split("(\n)", x))]
-        return np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum(f[1] for f in found)
+        return [self[w] for x in words for w in ((x,) if "\n" not in x or not self.lines else re.split("(\n)", x))]
+
+    @functools.cached_property
+    def own_mark(self) -> tuple[bytes, float]:
+        return np.array([self.byte_ids[b] for b in SPACE.encode()], "<i4").tobytes(), self.unknown_score
 
     @functools.cached_property
     def lines(self) -> bool:
@@ -114,9 +125,10 @@ class Pieces(dict):
                 out.append(pending.decode(errors="replace"))
                 pending = bytearray()
             if i not in self.silent:
-                out.append(self.pieces[i])
+                piece = self.pieces[i] if out else self.pieces[i].removeprefix(SPACE)
+                out.append(piece.replace(SPACE, " "))
         out.append(pending.decode(errors="replace"))
-        return "".join(out).removeprefix(SPACE).replace(SPACE, " ")
+        return "".join(out)
 
 
 @functools.lru_cache(maxsize=2)
