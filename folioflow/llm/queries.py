@@ -60,7 +60,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals after a history of batches, each committed twice."""
-    kept = rollup.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    kept = rollup.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}", merge_after=3)
     for batch, changes in rollup.history(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")):
         kept.commit(batch, changes)
         kept.commit(batch, changes)

@@ -2,9 +2,11 @@
 
 A batch holds signed changes: inserts add a document's tokens, deletes take them away, revisions do both with the old and the
 new count. Totals by source, language and tokenizer version are sums of such deltas, so that batches may come in any order and
-in parts, and applying one costs what it holds, not what is stored. A commit names its batch; totals count each batch once,
-however often it was written: a batch's folder is written aside, then moved in one step to the place its name fixes, where a
-second commit finds it.
+in parts, and applying one costs what it holds, not what is stored. Totals are stored, with the names of the batches that they
+hold; reading them adds the few batches that came later, and every so many commits both are merged into new totals.
+
+A commit is the creation of one empty file whose name says all: the batch (or the number of the totals) and the folder that holds
+its rows. That is one step on any file system, without renames. A batch counts once, however often it was written.
 """
 
 from __future__ import annotations
@@ -12,27 +14,30 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_bpe, map_batches, saved
+from .common import byte_bpe, map_batches, saved, words_of
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["documents", "tokens"]
 UNKNOWN = "und"
+#: Batches after which stored totals take up the new ones.
+MERGE_AFTER = 16
+ROWS = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint"
 CHANGES = "op string, source string, lang string, tokenizer_version string, tokens bigint, old_tokens bigint"
 
 
 def counted(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer_version, tokens of every row of docs (doc_id, text, source, lang). Null texts have none."""
+    """doc_id, source, lang, tokenizer_version, tokens, words of every row of docs (doc_id, text, source, lang). Null texts have none."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = byte_bpe(vocabulary)
-        tokens = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * batch.num_rows), pa.array(tokens, pa.int64())], ["doc_id", *KEYS, "tokens"])
+        encode, texts = byte_bpe(vocabulary), batch.column("text").to_pylist()
+        counts = [pa.array(x, pa.int64()) for x in ([len(encode(t)) if t else 0 for t in texts], [len(words_of(t)) for t in texts])]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * batch.num_rows), *counts], ["doc_id", *KEYS, "tokens", "words"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit(UNKNOWN)).alias("source"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    return map_batches(rows, one, "doc_id bigint, source string, lang string, tokenizer_version string, tokens bigint")
+    return map_batches(rows, one, "doc_id bigint, source string, lang string, tokenizer_version string, tokens bigint, words bigint")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -56,15 +61,46 @@ def total(parts: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals kept in a folder: a folder of summed deltas for each committed batch."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Totals kept in a folder: `rows/` has a folder of sums for each batch and for each version of the totals; empty files in
+    `commits/` (batch=folder) and `merges/` (number=folder) say which of them count."""
+
+    def __init__(self, spark: SparkSession, path: str, merge_after: int = MERGE_AFTER) -> None:
+        self.spark, self.path, self.merge_after = spark, path.rstrip("/"), merge_after
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+
+    def _marks(self, kind: str) -> dict[str, str]:
+        """What the files of a kind say. Of several writers of one name, the first by name counts: their rows are the same."""
+        if not self._fs.exists(self._at(kind)):
+            return {}
+        names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._at(kind))), reverse=True)
+        return dict(name.split("=") for name in names)
+
+    def _mark(self, kind: str, name: str, folder: str) -> bool:
+        self._fs.mkdirs(self._at(kind))
+        self._fs.createNewFile(self._at(f"{kind}/{name}={folder}"))
+        return self._marks(kind).get(name) == folder
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).parquet(*(f"{self.path}/rows/{f}" for f in folders))
+
+    def _state(self) -> tuple[int, str | None, set[str], dict[str, str]]:
+        """Number and folder of the newest totals, the batches that they hold, and the folders of those that came later."""
+        merges, commits = self._marks("merges"), self._marks("commits")
+        if not merges:
+            return 0, None, set(), commits
+        newest = max(map(int, merges))
+        folder = merges[str(newest)]
+        held = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/rows/{folder}-held").collect()}
+        return newest, folder, held, {b: f for b, f in commits.items() if b not in held}
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._fs_path(f"{self.path}/batch={batch}"))
+        _, _, held, later = self._state()
+        return batch in held or batch in later
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch; False, without effect, if it was committed before. A failed or doubled writer leaves nothing that counts."""
@@ -72,23 +108,29 @@ class Rollup:
             raise ValueError(f"a batch is named by letters, digits, - and _: {batch!r}")
         if self.committed(batch):
             return False
-        aside = f"{self.path}/_writing/{batch}-{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(aside)  # a row for each source, language and version of the batch
-        target = self._fs_path(f"{self.path}/batch={batch}")
-        won = not self._fs.exists(target) and self._fs.rename(self._fs_path(aside), target)
-        inner = self._fs_path(f"{self.path}/batch={batch}/{aside.rsplit('/', 1)[1]}")
-        if won and self._fs.exists(inner):  # another writer was first: the rename put this one inside
-            self._fs.delete(inner, True)
-            won = False
-        if not won:
-            self._fs.delete(self._fs_path(aside), True)
-        return bool(won)
+        folder = uuid.uuid4().hex
+        deltas(changes).coalesce(1).write.parquet(f"{self.path}/rows/{folder}")  # a row for each source, language and version of the batch
+        won = self._mark("commits", batch, folder)
+        if won and len(self._state()[3]) >= self.merge_after:
+            self.merge()
+        return won
+
+    def merge(self) -> None:
+        """Stores new totals that hold all batches so far, and removes what only the totals before the last ones needed."""
+        newest, folder, held, later = self._state()
+        new = uuid.uuid4().hex
+        total(self._read([*later.values(), *([folder] if folder else [])])).coalesce(1).write.parquet(f"{self.path}/rows/{new}")
+        batches = self.spark.createDataFrame([(b,) for b in sorted(held | later.keys())], "batch string")
+        batches.coalesce(1).write.parquet(f"{self.path}/rows/{new}-held")
+        if self._mark("merges", str(newest + 1), new):
+            commits = self._marks("commits")
+            for batch in held & commits.keys():  # readers of the totals before may still read the later ones
+                self._fs.delete(self._at(f"rows/{commits[batch]}"), True)
+                self._fs.delete(self._at(f"commits/{batch}={commits[batch]}"), False)
 
     def totals(self) -> DataFrame:
-        schema = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint, batch string"
-        if not self._fs.exists(self._fs_path(self.path)):
-            return total(self.spark.createDataFrame([], schema))
-        return total(self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path))
+        _, folder, _, later = self._state()
+        return total(self._read([*later.values(), *([folder] if folder else [])]))
 
 
 def history(docs: DataFrame, vocabulary: str, versions: tuple[str, str] = ("byte_bpe_50k@1", "byte_bpe_50k@2")) -> list[tuple[str, DataFrame]]:
@@ -98,21 +140,17 @@ def history(docs: DataFrame, vocabulary: str, versions: tuple[str, str] = ("byte
     is deleted; every tenth id plus one moves to the second version, which counts the end mark too.
     """
     first, second = versions
-    exact = counted(docs, vocabulary, first)
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
-    keys = [F.coalesce("source", F.lit(UNKNOWN)).alias("source"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.lit(first).alias("tokenizer_version")]
-    estimates = docs.select(*keys, words.alias("tokens"))
-    none = F.lit(None).cast("bigint").alias("old_tokens")
-    exact = saved(exact, "tokens")
+    rows = saved(counted(docs, vocabulary, first), "tokens")
     tenth = F.pmod("doc_id", F.lit(10))
-    deleted, moved = exact.where(tenth == 0), exact.where(tenth == 1)
-    row = lambda rows, op, version=first, tokens=F.col("tokens"), old=none: rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("tokens"), old)
-    # A revision states the old count and the new one; sums of either may come from different passes over the table.
-    zero = F.lit(0).cast("bigint")
+
+    def changes(rows: DataFrame, op: str, tokens: Column, version: str = first, old: Column | None = None) -> DataFrame:
+        before = F.lit(None).cast("bigint") if old is None else old
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("tokens"), before.alias("old_tokens"))
+
+    deleted, moved, tokens, words = rows.where(tenth == 0), rows.where(tenth == 1), F.col("tokens"), F.col("words")
     return [
-        ("insert", row(estimates, "insert")),
-        ("estimates-out", row(estimates, "revise", tokens=zero, old=F.col("tokens").alias("old_tokens"))),
-        ("tokens-in", row(exact, "revise", old=zero.alias("old_tokens"))),
-        ("delete", row(deleted, "delete")),
-        ("move", row(moved, "delete").unionByName(row(moved, "insert", second, F.col("tokens") + 1))),
+        ("insert", changes(rows, "insert", words)),
+        ("revise", changes(rows, "revise", tokens, old=words)),
+        ("delete", changes(deleted, "delete", tokens)),
+        ("move", changes(moved, "delete", tokens).unionByName(changes(moved, "insert", tokens + 1, second))),
     ]
