@@ -85,6 +85,8 @@ DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xBE6, 0xC66, 0xCE6, 0x
 FROM_DIGITS = "".join(chr(z + i) for z in DIGIT_ZEROS for i in range(10)) + "٫٬"
 TO_DIGITS = "0123456789" * len(DIGIT_ZEROS) + ".,"
 
+#: Scripts whose ranges have ASCII characters.
+WITH_ASCII = frozenset(s for s, ranges in SCRIPTS.items() if any(int(r.split("-")[0], 16) < 0x80 for r in ranges.split()))
 BY_CODE = {code: (name, scripts) for code, name, scripts in LANGUAGES}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,29 +83,48 @@ def word_count(c: Column | str) -> Column:
     return (count_of(spaced, f"[{C.WORD}]+") + F.floor(unspaced_count(c) / 2)).cast("int")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def script_sizes(c: Column | str) -> list[Column]:
+    """How many characters of each script a text has, in order. All scripts but the Latin one are counted without ASCII runs."""
+    foreign = F.regexp_replace(col(c), r"[\x00-\x7F]++", "")
+    return [count_of(col(c) if s in L.WITH_ASCII else foreign, f"[{L.class_body(s)}]") for s in L.SCRIPTS]
+
+
 def script_counts(c: Column | str) -> Column:
     """Map of scripts that occur to how many of their characters do."""
-    pairs = [x for s in L.SCRIPTS for x in (F.lit(s), count_of(c, f"[{L.class_body(s)}]"))]
+    pairs = [x for s, n in zip(L.SCRIPTS, script_sizes(c), strict=True) for x in (F.lit(s), n)]
     return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
 
 
-def main_script(c: Column | str) -> Column:
-    """The script with the most characters (of equals, the first in order); null without any."""
-    ranked = [F.struct(count_of(c, f"[{L.class_body(s)}]").alias("n"), F.lit(-i).alias("order"), F.lit(s).alias("script")) for i, s in enumerate(L.SCRIPTS)]
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["n"] > 0, best["script"])
-
-
 def detect_language(c: Column | str) -> Column:
-    """Language by the main script and, within the Latin script, by frequent words; `en` if nothing tells."""
-    c = col(c)
-    main = main_script(c)
-    kana, han = (count_of(c, f"[{L.class_body(s)}]") > 0 for s in ("kana", "han"))
-    words = F.regexp_extract_all(F.lower(c), F.lit(f"([{C.LETTER}]+)"), F.lit(1))
-    among = lambda listed: F.filter(words, lambda w: w.isin(*listed.split()))
-    hits = [F.struct(F.size(among(listed)).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, listed) in enumerate(L.STOP_WORDS.items())]
-    by_script = reduce(lambda x, kv: x.when(main == kv[0], kv[1]), list(L.SCRIPT_LANGUAGE.items())[1:], F.when(main == "arabic", "ar")).otherwise("en")
-    return F.when(main.isNull(), "en").when((main == "kana") | (han & kana), "ja").when(main != "latin", by_script).otherwise(F.array_max(F.array(*hits))["code"])
+    """Language by the main script and, within the Latin script, by frequent words; `en` if nothing tells.
+
+    The main script is the one with the most characters (of equals, the first in order).
+    """
+    names = list(L.SCRIPTS)
+    listed = {code: words.split() for code, words in L.STOP_WORDS.items()}
+    frequent = sorted({w for words in listed.values() for w in words})
+    words = F.filter(F.regexp_extract_all(F.lower(col(c)), F.lit(f"([{C.LETTER}]+)"), F.lit(1)), lambda w: w.isin(*frequent))
+
+    def tongue(found: Column) -> Column:
+        among = lambda some: F.size(F.filter(found, lambda w: w.isin(*some)))
+        hits = [F.struct(among(some).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, some) in enumerate(listed.items())]
+        return F.array_max(F.array(*hits))["code"]
+
+    def by_script(main: Column, sizes: Column) -> Column:
+        japanese = (main == "kana") | (sizes["han"] > 0) & (sizes["kana"] > 0)
+        others = reduce(lambda x, kv: x.when(main == kv[0], kv[1]), L.SCRIPT_LANGUAGE.items(), F.when(main.isNull(), "en").when(japanese, "ja"))
+        return others.when(main == "latin", let(words, tongue)).otherwise("en")
+
+    def by_sizes(sizes: Column) -> Column:
+        ranked = F.array(*(F.struct(sizes[s].alias("n"), F.lit(-i).alias("order"), F.lit(s).alias("script")) for i, s in enumerate(names)))
+        return let(let(F.array_max(ranked), lambda best: F.when(best["n"] > 0, best["script"])), lambda main: by_script(main, sizes))
+
+    return let(F.struct(*(n.alias(s) for s, n in zip(names, script_sizes(c), strict=True))), by_sizes)
 
 
 def ascii_digits(c: Column | str) -> Column:

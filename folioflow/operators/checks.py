@@ -5,7 +5,9 @@ What rules need is computed once for a pair of texts; the rules are predicates o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
@@ -89,6 +91,41 @@ def terms_header() -> str:
     return HEADER
 
 
+def coverage(members: DataFrame, entries: DataFrame, excluded: DataFrame | None = None, chunks_wanted: DataFrame | None = None) -> DataFrame:
+    """Findings on what files hold: chunks, files and segments that are missing, foreign or doubled.
+
+    One table of what is planned and what is given, by segment, and of chunks and files themselves (without a segment).
+    """
+    flag = lambda frame, *on: frame.select("book_id", "n", "seg_id", *(F.lit(f in on).alias(f) for f in ("planned", "given", "awaited")), *(F.col(c) if c in frame.columns else F.lit(False).alias(c) for c in ("wanted", "doubled")))
+    whole = lambda frame: frame.select("book_id", "n", F.lit(None).cast("string").alias("seg_id")).distinct()
+    asked = members.select("book_id", "n", "seg_id", "ch_id").withColumn("wanted", F.lit(True))
+    if excluded is not None:
+        gone = excluded.select("book_id", "ch_id", F.lit(False).alias("_in")).distinct()
+        asked = asked.join(gone, ["book_id", "ch_id"], "left").withColumn("wanted", F.coalesce("_in", F.lit(True)))
+    parts = [flag(asked, "planned"), flag(tr.by_file(entries).select("book_id", "n", "seg_id", "doubled"), "given"), flag(whole(entries), "given")]
+    if chunks_wanted is not None:
+        parts.append(flag(whole(chunks_wanted), "awaited"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("book_id", "n", "seg_id").agg(*(F.max(f).alias(f) for f in ("planned", "given", "awaited", "wanted", "doubled")))
+    chunk, seg = Window.partitionBy("book_id", "n"), Window.partitionBy("book_id", "seg_id")
+    every = every.withColumn("owner", F.max(F.when(F.col("planned"), F.col("n"))).over(seg))
+    every = every.withColumns({"is_chunk": F.max("planned").over(chunk), "has_file": F.max("given").over(chunk)})
+    none = F.array().cast("array<string>")
+    is_seg = F.col("seg_id").isNotNull()
+
+    def say(when: Column, rule: str, message: str, detail: Column = none) -> Column:
+        return F.when(when, F.struct(F.lit("error").alias("severity"), F.lit(rule).alias("rule"), F.lit(message).alias("message"), detail.alias("detail")))
+
+    rules = [
+        say(~is_seg & F.col("given") & ~F.col("is_chunk"), "E-CHUNK", "no such chunk"),
+        say(~is_seg & F.col("awaited") & ~F.col("has_file"), "E-FILE", "the translation file is missing"),
+        say(is_seg & F.col("doubled"), "E-DUP", "the segment appears more than once"),
+        say(is_seg & F.col("wanted") & F.col("has_file") & ~F.col("given"), "E-MISSING", "the segment is missing"),
+        say(is_seg & F.col("given") & F.col("is_chunk") & ~F.col("planned"), "E-FOREIGN", "the segment is not of this chunk", F.when(F.col("owner").isNotNull(), F.array(F.col("owner").cast("string"))).otherwise(none)),
+    ]
+    found = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    return every.select("book_id", "n", "seg_id", F.inline(found)).select("book_id", "n", "seg_id", "severity", "rule", "message", "detail")
+
+
 def check(
     members: DataFrame,
     segs: DataFrame,
@@ -112,23 +149,12 @@ def check(
 
     seg = F.col("seg_id")
     files = entries.select("book_id", "n").distinct()
-    planned = members.select("book_id", "n").distinct()
     wanted = members.select("book_id", "n", "seg_id", "ch_id")
     if excluded is not None:
         wanted = wanted.join(excluded.select("book_id", "ch_id"), ["book_id", "ch_id"], "left_anti")
     got = tr.by_file(entries)
     here = wanted.join(files, ["book_id", "n"], "left_semi")
-    out = [
-        rows(files.join(planned, ["book_id", "n"], "left_anti"), "E-CHUNK", "no such chunk"),
-        rows(got.where("doubled"), "E-DUP", "the segment appears more than once", seg),
-        rows(here.join(got, ["book_id", "n", "seg_id"], "left_anti"), "E-MISSING", "the segment is missing", seg),
-    ]
-    if chunks_wanted is not None:
-        out.append(rows(chunks_wanted.join(files, ["book_id", "n"], "left_anti"), "E-FILE", "the translation file is missing"))
-    foreign = got.join(planned, ["book_id", "n"], "left_semi").join(members.select("book_id", "n", "seg_id"), ["book_id", "n", "seg_id"], "left_anti")
-    owner = members.select("book_id", "seg_id", F.col("n").cast("string").alias("owner"))
-    foreign = foreign.select("book_id", "n", "seg_id").join(owner, ["book_id", "seg_id"], "left")
-    out.append(rows(foreign, "E-FOREIGN", "the segment is not of this chunk", seg, F.when(F.col("owner").isNotNull(), F.array("owner")).otherwise(none)))
+    out = [coverage(members, entries, excluded, chunks_wanted)]
     noted = entries.where("entry_type = 'note'").select("book_id", "n", F.col("key").alias("seg_id"))
     if not notes_allowed:
         out.append(rows(noted.groupBy("book_id", "n").agg(F.count(F.lit(1)).alias("notes")), "E-NOTES-OFF", "notes are not allowed", detail=F.array(F.col("notes").cast("string"))))

@@ -16,6 +16,8 @@ STOP = frozenset(
     where why how all any each every some most more many much few other another use using used example section
     chapter note also see following first second new one two three only just like very""".split()
 )
+#: The most distinct spellings of glossary terms that are broadcast.
+MOST_SPELLINGS = 100_000
 HEADS = ("chapter-title", "h1", "h2", "h3")
 
 
@@ -31,8 +33,9 @@ def word_tokens(c: Column) -> Column:
 def bigrams(tokens: Column) -> Column:
     """Neighbours that are both longer than three characters and no stop words."""
     good = lambda w: (F.length(w) > 3) & ~w.isin(*STOP)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.when(good(F.element_at(tokens, i)) & good(F.element_at(tokens, i + 1)), F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1))))
-    return F.when(F.size(tokens) > 1, F.filter(pairs, lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
+    marked = F.transform(tokens, lambda w: F.when(good(w), w))
+    pairs = T.let(marked, lambda m: F.zip_with(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def term_counts(segs: DataFrame) -> DataFrame:
@@ -88,23 +91,40 @@ def _sought(terms: DataFrame) -> DataFrame:
     return terms.withColumn("word", word).where("word <> ''")
 
 
+def runs_of(words: Column, longest: int) -> Column:
+    """All runs of one to `longest` words, as texts."""
+    one = F.transform(words, lambda w: F.struct(w.alias("run"), w.alias("word")))
+    out, longer = [words], one
+    for _ in range(longest - 1):  # each run of k words with the word that follows it
+        n = F.greatest(F.size(longer) - 1, F.lit(0))
+        longer = F.zip_with(F.slice(longer, F.lit(1), n), F.slice(one, F.size(one) - n + 1, n), lambda a, b: F.struct(F.concat(a["run"], F.lit(" "), b["word"]).alias("run"), b["word"].alias("word")))
+        out.append(F.transform(longer, lambda r: r["run"]))
+    return F.concat(*out)
+
+
 def glossary_hits(segs: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
     """book_id, seg_id, term, rendering for each glossary term (book_id, term, rendering) that stands in a segment as a whole word.
 
-    Terms of up to `longest` words are found by their runs of words: the segments' runs are matched by an equality join, then the
-    exact spelling is looked up. Terms with other characters, and longer ones, are compared with the segments of their book.
+    Terms of up to `longest` words are found by an equality join: a segment is cut wherever words are parted by anything but one
+    space, and the runs of words of its parts are the spellings that can match. Of these, only spellings of some term
+    go on, if the spellings are few enough to be broadcast. Terms with other characters, and longer ones, are compared with
+    the segments of their book.
     """
     text = segs.select("book_id", "seg_id", _searchable("text").alias("prose"))
     sought = _sought(terms)
-    simple = sought.where(F.col("word").rlike(rf"^[{C.WORD}]+(?: [{C.WORD}]+){{0,{longest - 1}}}$"))
-    odd = sought.join(simple.select("book_id", "term"), ["book_id", "term"], "left_anti")
-    words = text.withColumn("w", F.regexp_extract_all("prose", F.lit(f"([{C.WORD}]+)"), F.lit(1)))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))))
-    met = words.select("book_id", "seg_id", "prose", F.explode(F.array_distinct(runs)).alias("word")).join(simple, ["book_id", "word"])
-    # The run may have had other characters between its words than the term has.
-    exact = met.where(F.contains(F.concat(F.lit(" "), F.regexp_replace("prose", rf"[^{C.WORD} ]", "\n"), F.lit(" ")), F.concat(F.lit(" "), "word", F.lit(" "))) | F.regexp_like("prose", _bounded("word")))
+    plain = F.col("word").rlike(rf"^[{C.WORD}]+(?: [{C.WORD}]+){{0,{longest - 1}}}$")
+    simple, odd = sought.where(plain), sought.where(~plain)
+    cut = F.regexp_replace("prose", rf"[^{C.WORD} ][^{C.WORD}]*| [^{C.WORD}]+", "\n")
+    parts = F.filter(F.transform(F.split(cut, "\n"), lambda p: F.filter(F.split(p, " "), lambda w: w != "")), lambda p: F.size(p) > 0)
+    spelt = text.select("book_id", "seg_id", F.explode(F.array_distinct(F.flatten(F.transform(parts, lambda p: T.let(p, lambda w: runs_of(w, longest)))))).alias("word"))
+    spellings = simple.select("word").distinct()
+    if spellings.limit(MOST_SPELLINGS + 1).count() <= MOST_SPELLINGS:
+        spelt = spelt.join(F.broadcast(spellings), "word", "left_semi")
+    found = spelt.join(simple, ["book_id", "word"]).select("book_id", "seg_id", "term", "rendering")
+    if odd.isEmpty():
+        return found
     others = text.join(odd, "book_id").where(F.regexp_like("prose", _bounded("word")))
-    return exact.select("book_id", "seg_id", "term", "rendering").unionByName(others.select("book_id", "seg_id", "term", "rendering"))
+    return found.unionByName(others.select("book_id", "seg_id", "term", "rendering"))
 
 
 def glossary_hits_plain(segs: DataFrame, terms: DataFrame) -> DataFrame:

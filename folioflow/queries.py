@@ -330,9 +330,8 @@ TOLD = f"{CHUNKS}, told AS (SELECT book_id, CASE WHEN seg_no % 7 = 0 THEN n + 1
 )
 def check_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing and foreign segments, chunks and files, over all books at once."""
-    segs, members, rows = translated(spark, sf_dir)
-    none = spark.createDataFrame([], "book_id bigint, term string, rendering string")
-    found = checks.check(members, segs, rows, none, none.select("book_id", "term"), chunks_wanted=members.select("book_id", "n").distinct())
+    _, members, rows = translated(spark, sf_dir)
+    found = checks.coverage(members, rows, chunks_wanted=members.select("book_id", "n").distinct())
     return longs(found.where("rule in ('E-CHUNK', 'E-MISSING', 'E-FOREIGN', 'E-FILE')").select("book_id", "n", "seg_id", "rule"))
 
 
@@ -413,9 +412,9 @@ S_PROSE = f"lower({s_sub(s_sub(s_sub(s_sub('text', C.LINK_TARGET, ']'), C.URL, '
 S_GLOSSARY = "glossary(term, rendering) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in GLOSSARY) + ")"
 
 
-def glossary_of(spark: SparkSession, segs: DataFrame) -> DataFrame:
+def glossary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms_ = spark.createDataFrame(GLOSSARY, "term string, rendering string")
-    return segs.select("book_id").distinct().join(F.broadcast(terms_))  # a constant of eight rows
+    return books_of(documents(spark, sf_dir)).select("book_id").distinct().join(F.broadcast(terms_))  # a constant of eight rows
 
 
 HITS = f"hits AS (SELECT book_id, seg_id, text, term, rendering FROM (SELECT *, {S_PROSE} AS prose FROM segs), glossary WHERE regexp_matches(prose, '(^|[^{C.WORD}])' || term || '([^{C.WORD}]|$)'))"
@@ -424,14 +423,14 @@ HITS = f"hits AS (SELECT book_id, seg_id, text, term, rendering FROM (SELECT *,
 @query(f"WITH {SEGMENTS}, {S_GLOSSARY}, {HITS} SELECT book_id, seg_id, term, rendering FROM hits")
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = segments_of(spark, sf_dir)
-    return terms.glossary_hits(segs, glossary_of(spark, segs), longest=2)
+    return terms.glossary_hits(segs, glossary_of(spark, sf_dir), longest=2)
 
 
 @query(f"WITH {SEGMENTS}, {S_GLOSSARY}, {HITS} SELECT term, count(*)::BIGINT AS n FROM hits WHERE NOT contains(lower(text), lower(rendering)) GROUP BY term")
 def glossary_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each term would be missed if the sources stood as their own translations."""
     segs = segments_of(spark, sf_dir)
-    hits = terms.glossary_hits(segs, glossary_of(spark, segs), longest=2).join(segs.select("book_id", "seg_id", "text"), ["book_id", "seg_id"])
+    hits = terms.glossary_hits(segs, glossary_of(spark, sf_dir), longest=2).join(segs.select("book_id", "seg_id", "text"), ["book_id", "seg_id"])
     return hits.where(~F.contains(F.lower("text"), F.lower("rendering"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 

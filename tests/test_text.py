@@ -48,7 +48,9 @@ def test_inline_runs():
         ("bold", True, False, False, None), (" and ", False, False, False, None), ("it", False, True, False, None),
         ("a*b", False, False, True, None), ("link", False, False, False, "https://x.y"), (" *star", False, False, False, None),
     ]
-    assert inline.plain("a ** b") == "a  b" and inline.plain("2 * 3") == "2 * 3" and inline.plain("**x") == "**x"
+    assert inline.plain("a ** b") == "a  b" and inline.plain("2 * 3") == "2 * 3"
+    # A pair of stars that nothing closes is read as two single ones, which open and close.
+    assert inline.plain("**x") == "x" and inline.plain("*x") == "*x" and inline.plain("\\**x") == "*" + inline.plain("*x") and inline.plain("`x") == "`x" and inline.plain("[x](y") == "[x](y"
     assert inline.to_html("**a** `<`") == '<strong>a</strong> <code dir="ltr">&lt;</code>'
     assert [r.text for r in inline.parse("**[a *b*](c)**") if r.b] == ["a ", "b"]
 
