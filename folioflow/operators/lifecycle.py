@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import languages as L
+from . import terms
 from . import translations as tr
 
 #: Seconds by which a file may be younger than its check.
@@ -100,9 +102,13 @@ def tails(members: DataFrame, entries: DataFrame, size: int = 2) -> DataFrame:
     return rows.groupBy("book_id", (F.col("n") + 1).alias("n")).agg(F.array_join(tail, "\n").alias("tail"))
 
 
-def task_texts(members: DataFrame, segs: DataFrame, entries: DataFrame, header: str = "# Task {n}\n\n## Segments\n", blocks: DataFrame | None = None) -> DataFrame:
-    """book_id, n, partial, text: a task for each chunk, the segments in order with the code around them as context."""
-    asked = to_do(members, entries).join(segs.select("book_id", "seg_id", "kind", "text"), ["book_id", "seg_id"])
+def asked_of(members: DataFrame, segs: DataFrame, entries: DataFrame) -> DataFrame:
+    """to_do() with the kind and text of each segment."""
+    return to_do(members, entries).join(segs.select("book_id", "seg_id", "kind", "text"), ["book_id", "seg_id"])
+
+
+def task_bodies(asked: DataFrame, members: DataFrame, entries: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """book_id, n, partial, body: the end of the chunk before, then the segments in order with the code around them as context."""
     own = asked.select("book_id", "n", F.struct("seg_no", F.lit(1).alias("place"), F.lit(0).alias("pos")).alias("at"), F.concat(F.lit("@@ "), "seg_id", F.lit(" "), "kind", F.lit("\n"), "text").alias("line"))
     if blocks is not None:
         code = code_context(asked, blocks)
@@ -111,10 +117,73 @@ def task_texts(members: DataFrame, segs: DataFrame, entries: DataFrame, header:
         own = own.unionByName(code.select("book_id", "n", F.struct("seg_no", place.alias("place"), F.col("code_pos").alias("pos")).alias("at"), shown.alias("line")))
     body = own.groupBy("book_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n\n").alias("body"))
     partial = asked.groupBy("book_id", "n").agg(F.max("partial").alias("partial"))
-    before, after = header.split("{n}")
     tail = F.coalesce(F.concat(F.lit("## Before this (context only)\n"), "tail", F.lit("\n\n")), F.lit(""))
-    text = F.concat(F.lit(before), F.col("n").cast("string"), F.lit(after), tail, "body", F.lit("\n"))
-    return body.join(partial, ["book_id", "n"]).join(tails(members, entries), ["book_id", "n"], "left").select("book_id", "n", "partial", text.alias("text"))
+    return body.join(partial, ["book_id", "n"]).join(tails(members, entries), ["book_id", "n"], "left").select("book_id", "n", "partial", F.concat(tail, "body", F.lit("\n")).alias("body"))
+
+
+def task_texts(members: DataFrame, segs: DataFrame, entries: DataFrame, header: str = "# Task {n}\n\n## Segments\n", blocks: DataFrame | None = None) -> DataFrame:
+    """book_id, n, partial, text: a task for each chunk under a short header."""
+    before, after = header.split("{n}")
+    bodies = task_bodies(asked_of(members, segs, entries), members, entries, blocks)
+    return bodies.select("book_id", "n", "partial", F.concat(F.lit(before), F.col("n").cast("string"), F.lit(after), "body").alias("text"))
+
+
+RULES = """1. Translate every segment in full and in order; leave nothing out, add nothing, and do not summarise.
+2. Keep each segment's id; write one entry for each segment.
+3. Keep the marks of bold, italic, code and links, and translate the text within them, but never code or link targets.
+4. Leave code, commands, file names, addresses and identifiers as they are.
+5. Use the renderings of the glossary, and leave the terms to keep as they are.
+6. Propose renderings of new terms that matter as `@@ glossary` lines, a term => its rendering in each.
+7. If a segment must stay as it is, write `=` behind its id.
+8. {notes}"""
+NOTES = "Notes are allowed as `@@ note <segment id>` entries, for facts that readers need and that are certain; never inside a segment."
+NO_NOTES = "Write no notes of your own."
+NATIVE, AS_THEY_ARE = "Write numbers with the digits of the target language, but not in code, versions and identifiers.", "Leave the digits of numbers as they are."
+OUTPUT = "A text file for each task: for every segment a line `@@ <segment id>` and its translation below it."
+PARTLY = "\n## Partly translated\nThe file has the other segments of this chunk: translate only those below and add them at its end.\n"
+
+
+def task_frame(source: str, target: str, notes: bool = False, native: bool = False, style: str = "") -> dict[str, str]:
+    """The parts of a task's head that are the same for all chunks."""
+    src, tgt = L.describe(source), L.describe(target)
+    return {
+        "languages": f"Translate from {src['name']} ({src['code']}) into {tgt['name']} ({tgt['code']}, {'right to left' if tgt['dir'] == 'rtl' else 'left to right'}).",
+        "rules": "## Rules\n" + RULES.format(notes=NOTES if notes else NO_NOTES) + "\n9. " + (NATIVE if native else AS_THEY_ARE),
+        "style": "## Style\n" + (style or f"Clear and natural {tgt['name']}, as in a published book."),
+        "output": "## Output\n" + OUTPUT,
+    }
+
+
+def task_heads(asked: DataFrame, members: DataFrame, books: DataFrame, glossary: DataFrame, keep: DataFrame, frame: dict[str, str]) -> DataFrame:
+    """book_id, n, head: what stands above the segments of each task. asked is to_do() with kind and text.
+
+    glossary (book_id, term, rendering) and keep (book_id, term) are listed as far as the asked segments hold them, by term.
+    """
+    key = ["book_id", "n"]
+    texts, ids = asked.select("book_id", "seg_id", "text"), asked.select("book_id", "seg_id", "n")
+    lines = lambda hits, line, by: hits.join(ids, ["book_id", "seg_id"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(line)), by).alias("found"))
+    renderings = lines(terms.glossary_hits(texts, glossary), F.concat("term", F.lit(" => "), "rendering"), "\n").withColumnRenamed("found", "glossary")
+    kept = lines(terms.keep_hits(texts, keep), F.col("term"), ", ").withColumnRenamed("found", "keep")
+    sizes = members.groupBy(*key).agg(F.sum("tokens").alias("tokens"))
+    totals = members.groupBy("book_id").agg(F.count_distinct("n").alias("total"))
+    rows = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("segments"), F.max("partial").alias("partial"))
+    rows = rows.join(sizes, key).join(totals, "book_id").join(books.select("book_id", "title"), "book_id").join(renderings, key, "left").join(kept, key, "left")
+    none = F.lit("(none)")
+    head = F.concat(
+        F.format_string("# Task %04d of %04d\nBook: ", F.col("n"), F.col("total")), F.col("title"), F.lit(f"\n{frame['languages']}\n"),
+        F.col("segments").cast("string"), F.lit(" segments, about "), F.col("tokens").cast("string"), F.lit(" tokens\n\n"),
+        F.lit(f"{frame['rules']}\n\n{frame['style']}\n\n## Glossary\n"), F.coalesce("glossary", none), F.lit("\n\n## Keep\n"), F.coalesce("keep", none),
+        F.lit(f"\n\n{frame['output']}\n"), F.when(F.col("partial"), PARTLY).otherwise(""), F.lit("\n"),
+    )
+    return rows.select(*key, head.alias("head"))
+
+
+def full_tasks(members: DataFrame, segs: DataFrame, entries: DataFrame, books: DataFrame, glossary: DataFrame, keep: DataFrame, frame: dict[str, str], blocks: DataFrame | None = None) -> DataFrame:
+    """book_id, n, partial, text: a task for each chunk, with all that its translator has to know."""
+    asked = asked_of(members, segs, entries)
+    heads = task_heads(asked, members, books, glossary, keep, frame)
+    bodies = task_bodies(asked, members, entries, blocks)
+    return bodies.join(heads, ["book_id", "n"]).select("book_id", "n", "partial", F.concat("head", F.lit("## Segments\n"), "body").alias("text"))
 
 
 def review_sheets(members: DataFrame, segs: DataFrame, entries: DataFrame) -> DataFrame:

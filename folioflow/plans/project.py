@@ -79,10 +79,13 @@ class Plan:
     def terms(self, top: int = 50, known: DataFrame | None = None) -> DataFrame:
         return terms.top_terms(terms.term_counts(self.segs), top, known)
 
-    def tasks(self, said: DataFrame, state: DataFrame, count: int = 1, reclaim: bool = False) -> DataFrame:
-        """The texts of the next tasks of each book."""
+    def tasks(self, said: DataFrame, state: DataFrame, count: int = 1, reclaim: bool = False, glossary: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+        """The texts of the next tasks of each book, with glossary (book_id, term, rendering) and keep (book_id, term) where they bear on them."""
         chosen = lifecycle.next_chunks(self.members, self.chunks, said, state, count, reclaim, self.excluded)
-        return lifecycle.task_texts(self.members.join(chosen, ["book_id", "n"], "left_semi"), self.segs, said, blocks=self.blocks)
+        none = self.books.select("book_id", F.lit("").alias("term"), F.lit("").alias("rendering")).limit(0)
+        frame = lifecycle.task_frame(self.settings.source_lang or "en", self.settings.target_lang, self.settings.notes == "allowed", self.settings.numerals == "native", self.settings.style)
+        tasks = lifecycle.full_tasks(self.members, self.segs, said, self.books, none if glossary is None else glossary, none.select("book_id", "term") if keep is None else keep, frame, self.blocks)
+        return tasks.join(chosen, ["book_id", "n"], "left_semi")
 
     def check(self, said: DataFrame, glossary: DataFrame, keep: DataFrame) -> DataFrame:
         return checks.check(self.members, self.segs, said, glossary, keep, self.settings.target_lang, self.settings.notes == "allowed", self.excluded)

@@ -371,12 +371,15 @@ def review_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(lifecycle.review_sheets(members, segs, rows))
 
 
-@query(
-    f"""WITH {TOLD}, own AS (SELECT m.*, t.seg_id IS NOT NULL AS there FROM members m LEFT JOIN told t ON m.book_id = t.book_id AND m.n = t.n AND m.seg_id = t.seg_id),
+BODIES = f"""own AS (SELECT m.*, t.seg_id IS NOT NULL AS there FROM members m LEFT JOIN told t ON m.book_id = t.book_id AND m.n = t.n AND m.seg_id = t.seg_id),
     part AS (SELECT *, bool_or(there) OVER w AND NOT bool_and(there) OVER w AS partial FROM own WINDOW w AS (PARTITION BY book_id, n)),
     body AS (SELECT p.book_id, p.n, bool_or(partial) AS partial, string_agg('@@ ' || p.seg_id || ' ' || s.kind || chr(10) || s.text, chr(10) || chr(10) ORDER BY p.seg_no) AS body FROM part p JOIN segs s ON p.book_id = s.book_id AND p.seg_id = s.seg_id WHERE NOT (partial AND there) GROUP BY p.book_id, p.n),
     done AS (SELECT m.book_id, m.n + 1 AS n, m.seg_no, '@@ -- ' || m.seg_id || chr(10) || s.text AS x, row_number() OVER (PARTITION BY m.book_id, m.n ORDER BY m.seg_no DESC) AS k FROM members m JOIN told t ON m.book_id = t.book_id AND m.n = t.n AND m.seg_id = t.seg_id AND NOT t.is_keep JOIN segs s ON m.book_id = s.book_id AND m.seg_id = s.seg_id),
-    tail AS (SELECT book_id, n, string_agg(x, chr(10) ORDER BY seg_no) AS tail FROM done WHERE k <= 2 GROUP BY book_id, n)
+    tail AS (SELECT book_id, n, string_agg(x, chr(10) ORDER BY seg_no) AS tail FROM done WHERE k <= 2 GROUP BY book_id, n)"""
+
+
+@query(
+    f"""WITH {TOLD}, {BODIES}
     SELECT b.book_id, b.n::BIGINT AS n, partial, '# Task ' || b.n || chr(10) || chr(10) || '## Segments' || chr(10) || coalesce('## Before this (context only)' || chr(10) || tail || chr(10) || chr(10), '') || body || chr(10) AS text FROM body b LEFT JOIN tail t ON b.book_id = t.book_id AND b.n = t.n"""
 )
 def task_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +437,30 @@ def glossary_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where(~F.contains(F.lower("text"), F.lower("rendering"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+FRAME = lifecycle.task_frame("en", "ar", notes=True, style="Short sentences.")
+KEEP = ["erea", "Idiot", "qu"]
+
+
+@query(
+    f"""WITH {TOLD}, {BODIES}, {S_GLOSSARY},
+    asked AS (SELECT p.book_id, p.n, p.seg_id, p.partial, s.text, {S_PROSE.replace("(text,", "(s.text,")} AS prose FROM part p JOIN segs s ON p.book_id = s.book_id AND p.seg_id = s.seg_id WHERE NOT (partial AND there)),
+    found AS (SELECT book_id, n, string_agg(DISTINCT term || ' => ' || rendering, chr(10) ORDER BY term || ' => ' || rendering) AS lines FROM asked, glossary WHERE regexp_matches(prose, '(^|[^{C.WORD}])' || term || '([^{C.WORD}]|$)') GROUP BY book_id, n),
+    kept AS (SELECT book_id, n, string_agg(DISTINCT k, ', ' ORDER BY k) AS ks FROM asked, (SELECT unnest([{", ".join(map(q, KEEP))}]) AS k) WHERE contains(lower(text), lower(k)) GROUP BY book_id, n),
+    sized AS (SELECT book_id, n, sum(tokens) AS tokens FROM members GROUP BY book_id, n), totals AS (SELECT book_id, count(DISTINCT n) AS total FROM members GROUP BY book_id),
+    counted AS (SELECT book_id, n, count(*) AS segments FROM asked GROUP BY book_id, n)
+    SELECT b.book_id, b.n::BIGINT AS n, b.partial, '# Task ' || lpad(b.n::VARCHAR, 4, '0') || ' of ' || lpad(total::VARCHAR, 4, '0') || chr(10) || 'Book: document ' || b.book_id || chr(10) || {q(FRAME["languages"])} || chr(10)
+      || segments || ' segments, about ' || tokens || ' tokens' || chr(10) || chr(10) || {q(FRAME["rules"])} || chr(10) || chr(10) || {q(FRAME["style"])} || chr(10) || chr(10) || '## Glossary' || chr(10) || coalesce(lines, '(none)')
+      || chr(10) || chr(10) || '## Keep' || chr(10) || coalesce(ks, '(none)') || chr(10) || chr(10) || {q(FRAME["output"])} || chr(10) || CASE WHEN b.partial THEN {q(lifecycle.PARTLY)} ELSE '' END || chr(10) || '## Segments' || chr(10)
+      || coalesce('## Before this (context only)' || chr(10) || tail || chr(10) || chr(10), '') || body || chr(10) AS text
+    FROM body b JOIN sized USING (book_id, n) JOIN totals USING (book_id) JOIN counted USING (book_id, n) LEFT JOIN found USING (book_id, n) LEFT JOIN kept USING (book_id, n) LEFT JOIN tail t ON b.book_id = t.book_id AND b.n = t.n"""
+)
+def full_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs, members, rows = translated(spark, sf_dir)
+    glossary = glossary_of(spark, sf_dir)
+    keep = books_of(documents(spark, sf_dir)).select("book_id", F.explode(F.array(*map(F.lit, KEEP))).alias("term"))
+    return longs(lifecycle.full_tasks(members, segs, rows, books_of(documents(spark, sf_dir)), glossary, keep, FRAME))
+
+
 @query(
     """WITH p AS (SELECT doc_id AS book_id, 1 + doc_id % 3 AS n, doc_id % 2 AS ord, source AS term, lang AS rendering FROM documents), first AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n, ord, book_id) AS k FROM p)
     SELECT term, rendering, n::BIGINT AS chunk FROM first WHERE k = 1 AND term NOT IN ('src1', 'src2')"""
