@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate, takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,46 +94,52 @@ RTL_RANGES = [tuple(int(x, 16) for x in r.split("-")) for s in RIGHT_TO_LEFT for
 RTL_LETTER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in RTL_RANGES) + "]")
 
 
+def bracket_pairs(text: str) -> list[tuple[int, int]]:
+    """Places of brackets that belong together, by where they close. What still waits within a closed pair is dropped."""
+    waiting: dict[str, list[int]] = {closing: [] for closing in BRACKETS.values()}
+    pairs = []
+    for i, c in enumerate(text):
+        if c in BRACKETS:
+            waiting[BRACKETS[c]].append(i)
+        elif waiting.get(c):
+            start = waiting[c].pop()
+            pairs.append((start, i))
+            for places in waiting.values():
+                while places and places[-1] > start:
+                    places.pop()
+    return pairs
+
+
+def affixes(text: str, kinds: list[str]) -> Iterator[range]:
+    """Places of neutrals that are part of a left-to-right token, before or behind it."""
+    for token in re.finditer(r"[^\W_]+", text):
+        begin, end = token.span()
+        if kinds[begin] == "L":
+            first = begin - len(list(takewhile(lambda i: not kinds[i] and text[i] in BEFORE, range(begin - 1, -1, -1))))
+            edge = text[first - 1] if first else " "
+            if edge.isspace() or edge in BRACKETS or first and kinds[first - 1] == "L":
+                yield range(first, begin)
+        if kinds[end - 1] == "L":
+            yield range(end, end + len(list(takewhile(lambda i: not kinds[i] and text[i] in AFTER, range(end, len(text))))))
+
+
 def directions(text: str) -> list[bool]:
     """For each character, whether it is laid out right to left.
 
     A neutral is left to right only between two left-to-right characters, as an affix of a token (C#, .NET, +963), or in a pair of
     brackets that holds no right-to-left letter and begins or ends left to right.
     """
-    strong = ["R" if RTL_LETTER.match(c) else "L" if c.isalnum() else "" for c in text]
-    known = [i for i, k in enumerate(strong) if k]
-    out, rank = [True] * len(text), 0
-    for i, kind in enumerate(strong):
-        while rank < len(known) and known[rank] <= i:
-            rank += 1
-        left = strong[known[rank - 1]] if rank else ""
-        right = strong[known[rank]] if rank < len(known) else ""
-        out[i] = kind == "R" if kind else not (left == right == "L")
-    for m in re.finditer(r"[^\W_]+", text):
-        a, b = m.span()
-        if strong[a] == "L":
-            first = a
-            while first and not strong[first - 1] and text[first - 1] in BEFORE:
-                first -= 1
-            edge = text[first - 1] if first else " "
-            if edge.isspace() or edge in BRACKETS or first and strong[first - 1] == "L":
-                out[first:a] = [False] * (a - first)
-        if strong[b - 1] == "L":
-            end = b
-            while end < len(text) and not strong[end] and text[end] in AFTER:
-                end += 1
-            out[b:end] = [False] * (end - b)
-    waiting: list[int] = []
-    for i, c in enumerate(text):
-        if c in BRACKETS:
-            waiting.append(i)
-        elif c in BRACKETS.values():
-            k = next((k for k in range(len(waiting) - 1, -1, -1) if BRACKETS[text[waiting[k]]] == c), None)
-            if k is not None:
-                start = waiting[k]
-                del waiting[k:]
-                if not (out[start] and out[i]) and "R" not in strong[start : i + 1]:
-                    out[start : i + 1] = [False] * (i + 1 - start)
+    kinds = ["R" if RTL_LETTER.match(c) else "L" if c.isalnum() else "" for c in text]
+    before = list(accumulate(kinds, lambda last, kind: kind or last))  # the nearest letter's kind, from either side
+    behind = list(accumulate(reversed(kinds), lambda last, kind: kind or last))[::-1]
+    out = [kind == "R" if kind else (a, b) != ("L", "L") for kind, a, b in zip(kinds, before, behind, strict=True)]
+    for places in affixes(text, kinds):
+        for i in places:
+            out[i] = False
+    until = list(accumulate((kind == "R" for kind in kinds), initial=0))  # right-to-left letters before each place
+    for start, end in bracket_pairs(text):
+        if until[start] == until[end] and not (out[start] and out[end]):
+            out[start : end + 1] = [False] * (end + 1 - start)
     return out
 
 

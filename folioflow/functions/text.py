@@ -40,12 +40,19 @@ def without_ligatures(c: Column | str) -> Column:
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), LIGATURES.items(), col(c))
 
 
+# What Markdown's inline marks become, in this order; {word} is the inside of a class of word characters.
+MARKDOWN_MARKS = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "{1}"),
+    (r"__(.+?)__", "**{1}**"),
+    (r"(?<![{word}*])_(?!_)(.+?)(?<!_)_(?![{word}*])", "*{1}*"),
+    (r"<(https?://[^>]+)>", "[{1}]({1})"),
+)
+
+
 def markdown_inline(c: Column | str) -> Column:
     """Images to their text, underscores to stars, bare addresses to links."""
-    x = F.regexp_replace(col(c), r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    x = F.regexp_replace(x, r"__(.+?)__", "**$1**")
-    x = F.regexp_replace(x, rf"(?<![{C.WORD}*])_(?!_)(.+?)(?<!_)_(?![{C.WORD}*])", "*$1*")
-    return clean(F.regexp_replace(x, r"<(https?://[^>]+)>", "[$1]($1)"))
+    marks = ((pattern.replace("{word}", C.WORD), by.replace("{1}", "$1")) for pattern, by in MARKDOWN_MARKS)
+    return clean(reduce(lambda x, mark: F.regexp_replace(x, *mark), marks, col(c)))
 
 
 def without_code(c: Column | str, by: str = " ") -> Column:
