@@ -48,6 +48,7 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    give_back()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -216,7 +216,9 @@ def _measured(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) after further links (a, b)."""
+    """labels (node, label) after further links (a, b; saved)."""
+    if links.isEmpty():
+        return labels
     for end in ("a", "b"):
         names = labels.select(F.col("node").alias(end), F.col("label").alias("_name"))
         links = links.join(names, end, "left").withColumn(end, F.coalesce("_name", end)).drop("_name")
@@ -228,10 +230,10 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _with_centre(members: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    """members (centre, node, ...) with what is known of their centres; those of one centre are dealt to SALTS tasks."""
+def _with_centre(members: DataFrame, known: DataFrame, how: str = "inner", by: str = "node") -> DataFrame:
+    """members (centre, by, ...) with what is known of their centres; those of one centre are dealt to SALTS tasks."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(known.withColumn("_salt", salts), ["centre", "_salt"], how).drop("_salt")
+    return members.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(known.withColumn("_salt", salts), ["centre", "_salt"], how).drop("_salt")
 
 
 def _about_consensus(sets: DataFrame, similarity: float) -> DataFrame:
@@ -244,7 +246,7 @@ def _about_consensus(sets: DataFrame, similarity: float) -> DataFrame:
     percent = round(similarity * 100)
     counts = sets.select("centre", F.explode("apart").alias("element")).groupBy("centre", "element").agg(F.count(F.lit(1)).alias("n"))
     members = sets.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
-    turned = counts.join(members, "centre").where("2 * n > members").groupBy("centre").agg(F.collect_list("element").alias("turned"))
+    turned = _with_centre(counts, members, by="element").where("2 * n > members").groupBy("centre").agg(F.collect_list("element").alias("turned"))
     rows = _with_centre(sets, turned, "left")
     apart = F.when(F.col("turned").isNull(), F.col("apart")).otherwise(F.concat(F.array_except("apart", "turned"), F.array_except("turned", "apart")))
     rows = rows.withColumn("apart", apart).drop("turned")
@@ -350,12 +352,12 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     own = stars.join(open_, "centre", "left_semi").select("centre", F.col("centre").alias("node"), F.col("centre_size").alias("n_shingles")).distinct()
     sets = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), "n_shingles", "apart").unionByName(own.withColumn("apart", F.array().cast("array<bigint>")))
     found = _further_links(sets, labels, similarity)
-    inner = next(found)
+    inner = saved(next(found), "inner")
     forget(heads, entries)
     labels = _relabelled(labels, inner)
     links = found.send(labels)
     labels = _relabelled(labels, links)
-    forget(stars, texts, measured, links)
+    forget(stars, texts, measured, inner, links)
     members = signed_.join(classes, "set_key", "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     members = members.withColumn("class_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")))

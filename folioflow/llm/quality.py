@@ -37,9 +37,7 @@ WIDTH = 5.0
 LEAST_BETWEEN, LEAST_WITHIN = 0.05, 1.0
 #: A unit less likely than e ** -UNKNOWN_WORD counts as an unknown one, at that price: a key or an address does not outweigh a text.
 UNKNOWN_WORD = 18.0
-REMEMBERED_UNITS = 300_000
-#: Units whose counts a task holds before it hands them on.
-HELD_UNITS = 300_000
+REMEMBERED_UNITS = 200_000
 CHUNK = 256
 
 SCORED = "row bigint, doc_id bigint, lang string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_p double, missing array<struct<unit:string,times:bigint>>"
@@ -101,19 +99,9 @@ def by_language(langs: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def text_ngram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts, their words parted by one space. Tasks count units beforehand, within a bound of memory."""
-    schema = pa.schema([("lang", pa.string()), ("unit", pa.large_string()), ("n", pa.int64())])
+    """lang, gram, n over all texts, their words parted by one space. Units are counted in each batch, then by Spark before it shuffles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def merged() -> pa.Table:
-            return pa.concat_tables(held).group_by(["lang", "unit"]).aggregate([("n", "sum")]).rename_columns(schema.names)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            yield from merged().cast(pa.schema([("lang", pa.string()), ("unit", pa.string()), ("n", pa.int64())])).to_batches(HELD_UNITS)
-            held.clear()
-
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
@@ -121,16 +109,10 @@ def text_ngram_counts(docs: DataFrame) -> DataFrame:
                     u = units_of(batch.column("text").take(pa.array(which)))
                     for unit, ids in ((u.words, u.word_ids), (u.joints, u.joint_ids)):
                         n = np.bincount(ids, minlength=len(unit))
-                        held.append(pa.table([pa.array([lang] * len(unit), pa.string()), unit, pa.array(n)], schema=schema).filter(pa.array(n > 0)))
-                        rows += held[-1].num_rows
-                if rows > 2 * HELD_UNITS:
-                    held[:] = [merged()]
-                    rows = held[0].num_rows
-                    if rows > HELD_UNITS:
-                        yield from out()
-                        rows = 0
-        if rows:
-            yield from out()
+                        met = np.flatnonzero(n)
+                        if len(met):
+                            units = unit.take(pa.array(met)).cast(pa.string())
+                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met), pa.string()), units, pa.array(n[met])], ["lang", "unit", "n"])
 
     counted = in_arrow(docs.select(language().alias("lang"), "text"), each, "lang string, unit string, n bigint")
     unit = F.when(F.instr("unit", " ") > 0, F.col("unit")).otherwise(F.concat(F.lit(" "), "unit", F.lit(" ")))

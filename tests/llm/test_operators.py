@@ -281,8 +281,7 @@ def test_units_are_those_by_hand(spark):
     assert len(none.word_ids) == len(none.joint_ids) == 0
 
 
-def test_counts_are_those_by_hand(frame, monkeypatch):
-    monkeypatch.setattr(quality, "HELD_UNITS", 50)
+def test_counts_are_those_by_hand(frame):
     texts, langs = [syllables(i, (EN, FR)[i % 2], 30) for i in range(60)] + [None, ""], ["en", "fr"] * 30 + [None, "en"]
     want = Counter()
     for text, lang in zip(texts, langs, strict=True):
