@@ -156,7 +156,8 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(documents(spark, sf_dir).select("doc_id", T.estimate_tokens("text").alias("tokens"), T.word_count("text").alias("words")))
 
 
-MARKED = "CASE WHEN doc_id % 3 = 0 THEN '`' || replace(replace(text, '`', ' '), chr(10), ' ') || '`' WHEN doc_id % 3 = 1 THEN 'https://x.org/' || doc_id ELSE '12 [7](https://x.org/a' || doc_id || ') ' END || CASE WHEN doc_id % 2 = 0 THEN ' ' || left(text, 20) ELSE '' END"
+# The whole text as code, as an address, as a link's target, and as it is.
+MARKED = "CASE doc_id % 4 WHEN 0 THEN '`' || replace(replace(text, '`', ' '), chr(10), ' ') || '`' WHEN 1 THEN 'https://x.org/' || replace(replace(text, ' ', '/'), chr(10), '/') WHEN 2 THEN '12 [7](' || replace(replace(replace(text, ')', ''), ' ', '/'), chr(10), '/') || ') ' ELSE text END"
 
 
 @query(f"SELECT doc_id, {s_needs('m')} AS needed FROM (SELECT doc_id, {MARKED} AS m FROM documents)")
@@ -211,7 +212,7 @@ def number_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.explode(T.numbers("text")).alias("number")).groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-SPAN = "'Run `x' || doc_id || '` with [it](https://x.org/' || doc_id || ') or a.' || doc_id || '@mail.org and ftp://h.org/f. ' || left(text, 200)"
+SPAN = "'Run `x' || doc_id || '` with [it](https://x.org/' || doc_id || '). ' || text || ' So a.' || doc_id || '@mail.org, `' || replace(replace(text, '`', ' '), chr(10), ' ') || '` and ftp://h.org/f. '"
 
 
 @query(
