@@ -21,6 +21,15 @@ def marked(text: str) -> str:
     return MARKS.sub(r"\\\1", text)
 
 
+def joined(text: str, line: str) -> str:
+    """A text and the line that goes on with it: a word broken by a soft hyphen is put together, others get a space between."""
+    if not text:
+        return line
+    if re.search(r"[a-zà-ɏ]{2}-\Z", text) and re.match(r"[a-zà-ɏ]", line):
+        return text[:-1] + line
+    return text + ("" if text.endswith((" ", "\u200b")) else " ") + line
+
+
 def title_text(text: str) -> str:
     """A title without inline markup."""
     return re.sub(r"\*\*|`", "", UNMARKED.sub(r"\1", text)).strip("* ")

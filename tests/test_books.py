@@ -228,13 +228,14 @@ def test_layout(spark):
     pages = rows.select("book_id", "page").distinct()
     assert layout.body_size(rows).first().body == 10.0 and not layout.scanned(rows, pages).first().is_scan
     kept = layout.reading_order(layout.without_furniture(rows, pages))
-    assert kept.where("text like 'My Book%'").count() == 0 and [(r.size, r.level) for r in layout.heading_levels(kept).collect()] == [(22.0, 1)]
+    assert kept.where("text like 'My Book%'").count() == 0 and [r.sizes for r in layout.heading_sizes(kept, pages).collect()] == [[22.0]]
+    assert {(r.size, r.level) for r in layout.levelled(kept, pages).collect()} == {(22.0, 1), (10.0, 0), (9.0, 0)}
     paras = [r.text for r in layout.paragraphs(kept).orderBy("para_no").collect()]
     assert paras[:3] == ["A large title", "Some text that is broken by a hyphen here.", "x = 1"]
     outline = spark.createDataFrame([(1, 1, 1, 90.0), (1, 2, 3, 90.0)], "book_id int, mark_no int, page int, y double")
     assert [r.ch_no for r in layout.in_chapters(kept, outline).orderBy("line_no").collect()] == [1] * 8 + [2] * 4
     boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 1, 12.0, 0.0, 20.0, 10.0), (1, 1, 90.0, 90.0, 95.0, 95.0)], "book_id int, page int, x0 double, y0 double, x1 double, y1 double")
-    assert layout.merged_boxes(boxes).count() == 2
+    assert sorted(r.n for r in layout.merged_boxes(boxes).collect()) == [1, 2]
 
 
 def test_streaming(spark, tmp_path):
