@@ -19,7 +19,7 @@ from .operators import checks, chunks, layout, lifecycle, segments, terms, trans
 from .sinks import html as html_sink
 from .sinks import markdown as markdown_sink
 from .sinks import model, packages
-from .sources import reader, txt
+from .sources import pages, reader, txt
 from .sources.translations import entries
 
 SMALL = 250  # tokens of a chunk here, so that documents have several
@@ -566,3 +566,49 @@ def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lines.unionByName(heads)
     kept = layout.reading_order(layout.without_furniture(every, every.select("book_id", "page").distinct()))
     return layout.paragraphs(kept)
+
+
+# Lines of documents as spans of pages: forty to a page under a running head, every fortieth large, others code, bullets or bold.
+RAW = "CASE WHEN i % 8 = 3 THEN '• ' ELSE '' END || 'L' || i || ' '"
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> pages.Pages:
+    lines = documents(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    place = lines.withColumns({"page": (F.floor(F.col("i") / 40) + 1).cast("int"), "y0": F.lit(100.0) + (F.col("i") % 40) * 16.0, "size": F.when(F.col("i") % 40 == 0, 22.0).otherwise(10.0)})
+    font = F.when(F.col("i") % 8 == 5, "Courier").otherwise("Serif")
+    bold = lambda k: F.when(F.col("i") % 8 == 6, 16).when((F.col("i") % 8 == 1) & F.lit(k == 1), 16).otherwise(0)
+    part = lambda k, text, x: place.select("book_id", "page", F.col("i").cast("bigint").alias("line_id"), F.lit(k).alias("span_no"), text.alias("text"), "size", font.alias("font"), bold(k).alias("flags"), F.lit(x).alias("x0"), "y0", F.lit(x + 200).alias("x1"), (F.col("y0") + 10).alias("y1"), F.lit(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y"))
+    sheets = place.select("book_id", "page").distinct()
+    head = {"line_id": F.lit(-1).cast("bigint") * F.col("page"), "span_no": F.lit(0), "text": F.concat(F.lit("Page "), "page"), "size": F.lit(10.0), "font": F.lit("Serif"), "flags": F.lit(0), "x0": F.lit(50.0), "y0": F.lit(20.0), "x1": F.lit(99.0), "y1": F.lit(30.0), "dir_x": F.lit(1.0), "dir_y": F.lit(0.0)}
+    spans = part(0, F.expr(RAW), 50.0).unionByName(part(1, F.col("line"), 250.0)).unionByName(sheets.withColumns(head))
+    sheets = sheets.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    none = sheets.select("book_id", "page", *(F.lit(0.0).alias(s) for s in ("x0", "y0", "x1", "y1"))).limit(0)
+    outline = none.select("book_id", F.lit(1).alias("level"), F.lit("").alias("title"), "page", F.lit(0.0).alias("y"))
+    return pages.Pages(spans, none.withColumns({"link_no": F.lit(1), "uri": F.lit("")}), sheets, none.withColumn("filled", F.lit(True)), none, none.withColumn("rows", F.array(F.array(F.lit("")))), outline)
+
+
+def s_page_blocks() -> str:
+    esc = lambda x: s_sub(x, r"([*`\[\]])", r"\\\1")
+    tidy = lambda x: s_strip(s_sub(x, r"[ \t\r\f\x0B\xA0]+", " "))
+    return f"""WITH t AS (SELECT doc_id AS book_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT book_id, unnest(parts) AS line, unnest(generate_series(0, len(parts) - 1)) AS i FROM t),
+    l AS (SELECT *, i // 40 + 1 AS page, {s_strip('line')} AS bare, {RAW} AS opening FROM r),
+    sheets AS (SELECT book_id, page, sum(length({s_strip('opening')}) + length(bare)) + length('Page ' || page) AS chars FROM l GROUP BY book_id, page),
+    b AS (SELECT book_id, count(*) AS pages, sum(length('Page ' || page)) AS heads FROM sheets GROUP BY book_id HAVING avg((chars < 20)::INT) <= 0.5),
+    z AS (SELECT book_id, sum(CASE WHEN i % 40 = 0 THEN length(opening || line) ELSE 0 END) AS n22, sum(CASE WHEN i % 40 <> 0 AND i % 8 <> 5 THEN length(opening || line) ELSE 0 END) AS n10 FROM l GROUP BY book_id),
+    k AS (SELECT book_id, pages, n22 <= n10 + heads AS headed FROM b JOIN z USING (book_id)),
+    e AS (SELECT book_id, page, i % 40 + 1 AS nth, i, line, bare, opening, headed FROM l JOIN k USING (book_id) UNION ALL SELECT book_id, page, 0, NULL, NULL, NULL, NULL, headed FROM sheets JOIN k USING (book_id) WHERE pages < 3),
+    m AS (SELECT *, i IS NOT NULL AND i % 40 = 0 AND headed AS opens, {s_strip('opening || line')} AS whole,
+      i % 8 = 6 OR (i % 8 = 1 AND length(bare) > 0.9 * (length({s_strip('opening')}) + length(bare))) AS bold FROM e),
+    f AS (SELECT book_id, page, nth, opens, CASE WHEN i IS NULL THEN 'para' WHEN i % 8 = 5 THEN 'code' WHEN i % 8 = 3 THEN 'item' WHEN bold AND {s_count('whole', f'[^{C.WS}]+')} <= 12 AND NOT regexp_matches(whole, '[.!?]$') THEN 'heading' ELSE 'para' END AS type,
+      CASE WHEN i IS NULL THEN 'Page ' || page WHEN i % 8 = 5 THEN {s_sub('opening || line', f'[{C.WS}]+$', '')} WHEN i % 8 = 3 THEN {tidy(esc(s_sub('whole', '^• ', '')))}
+        WHEN i % 8 = 1 AND NOT bold AND regexp_matches(bare, '[{C.WORD}]') THEN {tidy(f"opening || regexp_extract(line, {q(f'^[{C.WS}]*')}) || '**' || {esc('bare')} || '**'")} ELSE {tidy(esc('whole'))} END AS text,
+      sum(opens::INT) OVER (PARTITION BY book_id ORDER BY page, nth) AS chapter, first_value(opens) OVER (PARTITION BY book_id ORDER BY page, nth) AS first FROM m),
+    g AS (SELECT *, (chapter + CASE WHEN first THEN 0 ELSE 1 END)::BIGINT AS ch_no FROM f WHERE NOT opens)
+    SELECT book_id, ch_no, row_number() OVER (PARTITION BY book_id, ch_no ORDER BY page, nth) - 1 AS pos, type, text FROM g"""
+
+
+@query(s_page_blocks())
+def page_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of positioned spans read back as blocks."""
+    return longs(pages.read_pages(pages_of(spark, sf_dir))["blocks"].select("book_id", "ch_no", "pos", "type", "text"))
