@@ -225,3 +225,9 @@ def page_numbers(spec: str | None) -> list[int]:
         first, _, last = part.partition("-")
         out += range(int(first), int(last or first) + 1)
     return out
+
+
+def sampled_pages(total: int, count: int) -> list[int]:
+    """Pages, from 1, spread evenly over all of a book, the first and the last among them."""
+    count = min(count, total)
+    return sorted({1 + round(k * (total - 1) / max(count - 1, 1)) for k in range(count)})

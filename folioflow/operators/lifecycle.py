@@ -232,17 +232,40 @@ def carried_over(merged: DataFrame, moved: DataFrame, members: DataFrame) -> Dat
     return rows.groupBy("book_id", "n").agg(F.concat(F.array_join(lines, "\n\n"), F.lit("\n")).alias("text"))
 
 
-def report(chapters: DataFrame, blocks: DataFrame, segs: DataFrame, chunks: DataFrame, automatic: DataFrame) -> DataFrame:
-    """book_id, report: counts of chapters, blocks by type, segments, words, tokens and chunks, and the list of chapters."""
+def report(chapters: DataFrame, blocks: DataFrame, segs: DataFrame, chunks: DataFrame, automatic: DataFrame, suggestions: DataFrame | None = None, excluded: DataFrame | None = None, notes: DataFrame | None = None, most_notes: int = 20) -> DataFrame:
+    """book_id, report: counts of chapters, blocks by type, segments, words, tokens and chunks, and the list of chapters.
+
+    suggestions (book_id, ch_id, reason) are chapters that may be left out, excluded (book_id, ch_id) those that are, and notes
+    (book_id, notes) what the reader of a book had to say.
+    """
     from ..functions import text as T
 
     kinds = blocks.groupBy("book_id", "type").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ch_no", "pos")).alias("first"))
     kinds = kinds.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "first", "type"))), lambda x: F.concat_ws(" ", x["type"], -x["k"])), ", ").alias("kinds"))
     sized = blocks.groupBy("book_id", "ch_id").agg(F.count(F.lit(1)).alias("blocks"))
-    line = F.concat(F.lit("- "), "ch_id", F.lit(": "), F.when(F.col("title") == "", "(untitled)").otherwise(F.substring("title", 1, 70)), F.lit(" - "), F.coalesce("blocks", F.lit(0)), F.lit(" blocks"))
-    listed = chapters.join(sized, ["book_id", "ch_id"], "left").groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ch_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("list"))
+    line = F.concat(F.lit("- "), "ch_id", F.lit(": "), F.when(F.col("title") == "", "(untitled)").otherwise(F.substring("title", 1, 70)), F.lit(" - "), F.coalesce("blocks", F.lit(0)), F.lit(" blocks"), F.when(F.coalesce("out", F.lit(False)), " [excluded]").otherwise(""))
+    out = chapters.select("book_id", "ch_id").limit(0) if excluded is None else excluded.select("book_id", "ch_id").distinct()
+    listed = chapters.join(sized, ["book_id", "ch_id"], "left").join(out.withColumn("out", F.lit(True)), ["book_id", "ch_id"], "left").groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ch_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("list"))
     totals = segs.groupBy("book_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(T.word_count("text")).alias("words"), F.sum(T.estimate_tokens("text")).alias("tokens"))
     rows = totals.join(chunks.groupBy("book_id").agg(F.count(F.lit(1)).alias("chunks")), "book_id", "left").join(automatic.groupBy("book_id").agg(F.count(F.lit(1)).alias("auto")), "book_id", "left").join(listed, "book_id", "left").join(kinds, "book_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     text = F.concat(F.lit("- chapters: "), n("chapters"), F.lit(" | blocks: "), F.coalesce("kinds", F.lit("none")), F.lit("\n- to translate: "), n("segments") - n("auto"), F.lit(" segments, "), "words", F.lit(" words, "), "tokens", F.lit(" tokens in "), n("chunks"), F.lit(" chunks\n\n## Chapters\n"), F.coalesce("list", F.lit("")))
+    for title, lines in (("May be left out", _suggested(suggestions)), ("Notes", _noted(notes, most_notes))):
+        if lines is not None:
+            rows = rows.join(lines, "book_id", "left").withColumnRenamed("lines", title)
+            text = F.concat(text, F.coalesce(F.concat(F.lit(f"\n\n## {title}\n"), F.col(title)), F.lit("")))
     return rows.select("book_id", text.alias("report"))
+
+
+def _suggested(suggestions: DataFrame | None) -> DataFrame | None:
+    if suggestions is None:
+        return None
+    line = F.concat(F.lit("- "), "ch_id", F.lit(": "), "reason")
+    return suggestions.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+
+
+def _noted(notes: DataFrame | None, most: int) -> DataFrame | None:
+    if notes is None:
+        return None
+    lines = F.transform(F.slice("notes", 1, most), lambda x: F.concat(F.lit("- "), x))
+    return notes.where(F.size("notes") > 0).select("book_id", F.array_join(lines, "\n").alias("lines"))

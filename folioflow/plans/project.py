@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+import json
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..sources.translations import entries, read_translations
 FORMATS = ("html", "epub", "docx", "md")
 #: How much of a book tells its language: blocks of a chapter, and characters.
 SAMPLE_BLOCKS, SAMPLE_CHARS = 40, 20_000
+#: The tables of a plan that are read, not derived.
+TABLES = ("books", "chapters", "blocks", "assets", "excluded")
 
 
 @dataclass
@@ -90,10 +93,30 @@ class Plan:
     def check(self, said: DataFrame, glossary: DataFrame, keep: DataFrame) -> DataFrame:
         return checks.check(self.members, self.segs, said, glossary, keep, self.settings.target_lang, self.settings.notes == "allowed", self.excluded)
 
-    def build(self, said: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-        """A table (book_id, text or content) for each format, of books without missing segments, or of all if forced."""
+    def report(self) -> DataFrame:
+        """book_id, report: what was read and planned, which chapters may be left out, and the readers' notes."""
+        return lifecycle.report(self.chapters, self.blocks, self.segs, self.chunks, chunks.automatic(self.segs), self.suggestions(), self.excluded, self.books.select("book_id", "notes"))
+
+    def carry(self, said: DataFrame, new: Plan) -> DataFrame:
+        """book_id, n, text: the translations of these books as files for the chunks of a plan of the same books, read again.
+
+        This plan must be a saved one: files are read when they are needed, and would by now be the new ones.
+        """
+        return lifecycle.carried_over(translations.merged(said), lifecycle.remap(self.segs, new.segs), new.members)
+
+    def drafts(self, said: DataFrame) -> DataFrame:
+        """Books that lack segments, which a forced build gives in the source's words."""
+        return model.missing(self.segs, translations.merged(said))
+
+    def build(self, said: DataFrame, force: bool = False, findings: DataFrame | None = None) -> dict[str, DataFrame]:
+        """A table (book_id, text or content) for each format, of books without missing segments, or of all if forced.
+
+        With findings (check()), books that have errors are not built either.
+        """
         merged = translations.merged(said)
-        ready = self.books if force else self.books.join(model.missing(self.segs, merged), "book_id", "left_anti")
+        ready = self.books if force else self.books.join(self.drafts(said), "book_id", "left_anti")
+        if findings is not None and not force:
+            ready = ready.join(findings.where("rule like 'E-%'").select("book_id").distinct(), "book_id", "left_anti")
         only = lambda df: df.join(ready.select("book_id"), "book_id", "left_semi")
         books, chapters = model.translated_books(ready, merged), only(model.translated_chapters(self.chapters, merged))
         blocks = only(model.translated_blocks(self.blocks, merged, translations.notes(said)))
@@ -122,6 +145,27 @@ def ingest(spark: SparkSession, folder: str, settings: Settings) -> Plan:
     return plan(settings, reader.read_files(spark, folder))
 
 
+def save(plan_: Plan, folder: str) -> None:
+    """Writes a plan's settings and tables below a folder; a table that is there is replaced as a whole."""
+    spark = plan_.books.sparkSession
+    spark.createDataFrame([(json.dumps(asdict(plan_.settings)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
+    for name in TABLES:
+        if getattr(plan_, name) is not None:
+            getattr(plan_, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str, **changes: object) -> Plan:
+    """The plan that save() wrote; settings that are not named there have their defaults, and changes replace others."""
+    told = json.loads(spark.read.text(f"{folder}/settings").first().value)
+    known = {f.name for f in fields(Settings)}
+    settings = Settings(**{k: v for k, v in told.items() if k in known}).changed(**changes)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES if there(name)}
+    return plan(settings, tables, tables.get("excluded"))
+
+
 def source_languages(plan_: Plan) -> DataFrame:
     """book_id, language: as the book declares it, else as its first blocks tell."""
     sample = plan_.blocks.where((F.col("pos") < SAMPLE_BLOCKS) & F.col("text").isNotNull() & (F.col("type") != "code")).groupBy("book_id")

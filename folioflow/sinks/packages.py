@@ -6,6 +6,7 @@ import hashlib
 import html
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -87,11 +88,31 @@ STYLES = {
 }
 
 
+#: Pictures are shown at this many pixels an inch, enlarged so, and at most so many centimetres wide; a centimetre has so many units.
+PICTURE_DPI, PICTURE_SCALE, PICTURE_WIDTH, UNITS = 200, 1.4, 15.5, 360_000
+
+
+def picture_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height in pixels of a PNG, GIF or JPEG file; None for others."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return struct.unpack(">II", content[16:24])
+    if content[:4] == b"GIF8" and len(content) >= 10:
+        return struct.unpack("<HH", content[6:10])
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        kind, size = struct.unpack(">BH", content[at + 1 : at + 4])
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+            return struct.unpack(">HH", content[at + 5 : at + 9])[::-1]
+        at += 2 + size
+    return None
+
+
 class Docx:
     """A word processor's document; properties are written in the order that the format's schema asks for."""
 
-    def __init__(self, lang: dict) -> None:
+    def __init__(self, lang: dict, assets: dict[str, bytes] | None = None) -> None:
         self.rtl, self.code, self.body, self.links, self.images = lang["dir"] == "rtl", lang["code"], [], [], []
+        self.assets = assets or {}
 
     def run(self, text: str, bold: bool = False, italic: bool = False, code: bool = False, rtl: bool = False) -> str:
         properties = ('<w:rFonts w:ascii="Consolas" w:hAnsi="Consolas" w:cs="Consolas"/>' if code else "") + ("<w:b/><w:bCs/>" if bold else "") + ("<w:i/><w:iCs/>" if italic else "") + ("<w:rtl/>" if rtl else "")
@@ -121,6 +142,26 @@ class Docx:
         body = "".join("<w:tr>" + "".join(map(cell, [*r, *[""] * (width - len(r))])) + "</w:tr>" for r in rows)
         return f'<w:tbl><w:tblPr>{visual}<w:tblW w:w="0" w:type="auto"/><w:tblBorders>{sides}</w:tblBorders></w:tblPr><w:tblGrid>{"<w:gridCol/>" * width}</w:tblGrid>{body}</w:tbl>'
 
+    def picture(self, file: str, alt: str) -> str | None:
+        """The run of a picture; None where there is none, or none whose size can be told."""
+        content = bytes(self.assets.get(file) or b"")
+        size = picture_size(content)
+        if not size or not all(size):
+            return None
+        self.images.append((f"media/image{len(self.images) + 1}.{file.rsplit('.', 1)[-1].lower()}", content))
+        n, width = len(self.images), min(PICTURE_WIDTH, size[0] / PICTURE_DPI * 2.54 * PICTURE_SCALE)
+        extent = f'cx="{round(width * UNITS)}" cy="{max(1, round(width * UNITS * size[1] / size[0]))}"'
+        named = f'id="{n}" name="{html.escape(file)}" descr="{html.escape(alt)}"'
+        drawing = "http://schemas.openxmlformats.org/drawingml/2006"
+        shape = (
+            f'<pic:pic xmlns:pic="{drawing}/picture"><pic:nvPicPr><pic:cNvPr {named}/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="image{n}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+            f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {extent}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic>'
+        )
+        return (
+            f'<w:r><w:drawing><wp:inline xmlns:wp="{drawing}/wordprocessingDrawing"><wp:extent {extent}/><wp:docPr {named}/>'
+            f'<a:graphic xmlns:a="{drawing}/main"><a:graphicData uri="{drawing}/picture">{shape}</a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+        )
+
     def add(self, b: dict) -> None:
         kind, text = b["type"], b.get("text") or ""
         if kind == "heading":
@@ -132,7 +173,8 @@ class Docx:
         elif kind == "table":
             self.body += [self.table([list(r) for r in (b["rows"] if b.get("rows") is not None else [])]), self.paragraph("")]
         elif kind == "figure":
-            self.body.append(self.paragraph(self.run(f"[{b.get('alt') or b.get('file') or ''}]"), extra='<w:jc w:val="center"/>'))
+            shown = self.picture(b.get("file") or "", inline.plain(b.get("alt"))) or self.run(f"[{b.get('alt') or b.get('file') or ''}]")
+            self.body.append(self.paragraph(shown, extra='<w:jc w:val="center"/>'))
         elif kind == "rule":
             self.body.append(self.paragraph(self.run("* * *"), extra='<w:jc w:val="center"/>'))
         else:
@@ -145,9 +187,11 @@ class Docx:
         kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         relations = "".join(f'<Relationship Id="link{i}" Type="{kind}/hyperlink" Target="{html.escape(u)}" TargetMode="External"/>' for i, u in enumerate(self.links, 1))
         relations += "".join(f'<Relationship Id="{n}" Type="{kind}/{n}" Target="{n}.xml"/>' for n in ("styles", "numbering"))
+        relations += "".join(f'<Relationship Id="image{n}" Type="{kind}/image" Target="{name}"/>' for n, (name, _) in enumerate(self.images, 1))
+        pictures = "".join(f'<Default Extension="{x}" ContentType="{MEDIA.get(x, "image/png")}"/>' for x in sorted({name.rsplit(".", 1)[-1] for name, _ in self.images}))
         top, pkg = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n', "http://schemas.openxmlformats.org/package/2006"
         word = "application/vnd.openxmlformats-officedocument.wordprocessingml"
-        types = f'<Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{word}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{word}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{word}.numbering+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
+        types = f'<Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{pictures}<Override PartName="/word/document.xml" ContentType="{word}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{word}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{word}.numbering+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
         core = f'<cp:coreProperties xmlns:cp="{pkg}/metadata/core-properties" xmlns:dc="{DC}"><dc:title>{html.escape(title)}</dc:title><dc:creator>{html.escape(author)}</dc:creator><dc:language>{self.code}</dc:language></cp:coreProperties>'
         section = f'<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1418" w:right="1418" w:bottom="1418" w:left="1418" w:header="709" w:footer="709" w:gutter="0"/>{"<w:bidi/>" if self.rtl else ""}</w:sectPr>'
         return _zipped(
@@ -159,12 +203,13 @@ class Docx:
                 "word/styles.xml": top + f"<w:styles {W}>{styles}</w:styles>",
                 "word/numbering.xml": top + numbering,
                 "word/_rels/document.xml.rels": top + f'<Relationships xmlns="{pkg}/relationships">{relations}</Relationships>',
+                **{f"word/{name}": content for name, content in self.images},
             }
         )
 
 
 def docx(book: dict, lang: dict) -> bytes:
-    out, plain = Docx(lang), inline.plain
+    out, plain = Docx(lang, book["assets"]), inline.plain
     out.body.append(out.paragraph(out.runs(book["title"]), "Title"))
     if plain(book["title_src"]) != plain(book["title"]):
         out.body.append(out.paragraph(out.run(plain(book["title_src"])), ltr=True, extra='<w:jc w:val="center"/>'))
