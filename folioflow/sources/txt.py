@@ -13,36 +13,67 @@ CHAPTER_WORDS = (
     "chapter|part|book|prologue|epilogue|introduction|preface|cap[ií]tulo|chapitre|kapitel|"
     "capitolo|hoofdstuk|rozdzia[lł]|глава|часть|الفصل|الباب|פרק|第.{1,8}[章回节節部]"
 )
+#: The level of headings that plain text has.
+LEVEL = 2
 CHAPTER_LINE = rf"(?i)^(?:{CHAPTER_WORDS})(?:$|[^{C.WORD}].{{0,79}}$)"
 
 
 def is_chapter(line: Column) -> Column:
-    return line.rlike(CHAPTER_LINE) & (F.length(line) < 90)
+    return (F.length(line) < 90) & line.rlike(CHAPTER_LINE)
 
 
 def is_heading(line: Column) -> Column:
     shouted = (line == F.upper(line)) & (line != F.lower(line))
-    return (F.length(line) < 60) & shouted & (T.count_of(line, f"[^{C.WS}]+") <= 8)
+    # Without a small ASCII letter, which most lines have: the cases of others take long to tell.
+    return (F.length(line) < 60) & ~line.rlike("[a-z]") & shouted & (T.count_of(line, f"[^{C.WS}]+") <= 8)
 
 
-def lines(docs: DataFrame, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """book_id, ch_no, at (place in the chapter, from 0; -1 for its title), line of each block.
+def chaptered(text: Column) -> Column:
+    """The chapters of a text, in order: titled (whether the first line is its title), lines.
 
     Blocks are parted by blank lines if there are any, else by line ends. Text before the first chapter's line is an untitled
-    chapter. Null and empty texts have no blocks.
+    chapter. Null and empty texts have none. Each line is read once: the starts of chapters cut the array of all lines.
+    """
+    whole = F.replace(F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text), F.lit("\r\n"), F.lit("\n"))
+    parts = T.let(whole, lambda w: F.when(F.contains(w, F.lit("\n\n")), F.split(w, rf"\n[{C.WS}]*\n")).otherwise(F.split(w, "\n")))
+    tidy = F.filter(F.transform(parts, lambda p: T.let(F.replace(p, F.lit("\n"), F.lit(" ")), T.clean)), lambda s: s != "")
+
+    def cut(rows: Column) -> Column:
+        titles = F.filter(F.transform(rows, lambda s, i: F.when(is_chapter(s), i)), lambda i: i.isNotNull())
+        first = F.array(F.lit(0))
+        starts = T.let(titles, lambda t: F.when(F.try_element_at(t, F.lit(1)) == 0, F.struct(F.lit(True).alias("titled"), t.alias("at"))).otherwise(F.struct(F.lit(False).alias("titled"), F.concat(first, t).alias("at"))))
+        chapter = lambda s, b, k: F.struct((s["titled"] | (k > 0)).alias("titled"), F.slice(rows, b + 1, F.coalesce(F.try_element_at(s["at"], k + 2), F.size(rows)) - b).alias("lines"))
+        return T.let(starts, lambda s: F.transform(s["at"], lambda b, k: chapter(s, b, k)))
+
+    return F.filter(T.let(tidy, cut), lambda c: F.size(c["lines"]) > 0)
+
+
+def lines(docs: DataFrame, book: str = "doc_id", text: str = "text") -> DataFrame:
+    """book_id, ch_no, at (place in the chapter, from 0; -1 for its title), line of each block, as chaptered() tells."""
+    rows = docs.select(F.col(book).alias("book_id"), F.posexplode(chaptered(F.col(text))).alias("k", "c"))
+    rows = rows.select("book_id", (F.col("k") + 1).alias("ch_no"), F.col("c.titled").alias("titled"), F.posexplode("c.lines").alias("i", "line"))
+    return rows.select("book_id", "ch_no", (F.col("i") - F.col("titled").cast("int")).alias("at"), "line")
+
+
+def book_segments(docs: DataFrame, title: Column, label: str, book: str = "doc_id", text: str = "text") -> DataFrame:
+    """book_id, segs: the segments of each text as one array of (seg_no, seg_id, kind, text, ch_id), without a shuffle.
+
+    What segments.segments() gives for read_txt(), for books that are one row each: every line is one segment.
     """
-    whole = F.regexp_replace(F.regexp_replace(F.col(text), r"^\x{FEFF}", ""), "\r\n", "\n")
-    parts = F.when(F.contains(whole, F.lit("\n\n")), F.split(whole, rf"\n[{C.WS}]*\n")).otherwise(F.split(whole, "\n"))
-    tidy = F.filter(F.transform(parts, lambda p: T.clean(F.replace(p, F.lit("\n"), F.lit(" ")))), lambda s: s != "")
-    starts = F.filter(F.transform("tidy", lambda s, i: F.when(is_chapter(s), i)), lambda i: i.isNotNull())
-    rows = docs.select(F.col(book).alias("book_id"), tidy.alias("tidy")).withColumn("starts", starts)
-    rows = rows.select("book_id", "starts", F.posexplode("tidy").alias("i", "line"))
-    before = F.filter("starts", lambda k: k <= F.col("i"))
-    untitled = F.when(F.try_element_at("starts", F.lit(1)) == 0, 0).otherwise(1)
-    return rows.withColumn("before", before).select(
-        "book_id", (F.size("before") + untitled).alias("ch_no"), (F.col("i") - F.coalesce(F.try_element_at("before", F.lit(-1)), F.lit(-1)) - 1).alias("at"), "line"
+    of = lambda no, seg_id, kind, value, ch_id: F.struct(no.alias("seg_no"), seg_id.alias("seg_id"), kind.alias("kind"), value.alias("text"), ch_id.alias("ch_id"))
+    meta = F.array(
+        of(F.lit(1), F.lit("meta.title"), F.lit("book-title"), title, F.lit("meta")), of(F.lit(2), F.lit("meta.toc"), F.lit("ui-label"), F.lit(label), F.lit("meta"))
     )
 
+    def line(c: Column, ch_id: Column, s: Column, i: Column) -> Column:
+        block = F.struct(F.concat(ch_id, F.format_string(".b%04d", i - c["titled"].cast("int"))).alias("seg_id"), F.when(is_heading(s), f"h{LEVEL}").otherwise("para").alias("kind"), T.escape_marks(s).alias("text"), ch_id.alias("ch_id"))
+        return F.when(c["titled"] & (i == 0), F.struct(F.concat(ch_id, F.lit(".t")).alias("seg_id"), F.lit("chapter-title").alias("kind"), s.alias("text"), ch_id.alias("ch_id"))).otherwise(block)
+
+    chapter = lambda c, k: T.let(F.format_string("c%03d", k + 1), lambda ch_id: F.transform(c["lines"], lambda s, i: line(c, ch_id, s, i)))
+    own = F.transform(F.flatten(F.transform(chaptered(F.col(text)), chapter)), lambda x, i: of(i + 3, x["seg_id"], x["kind"], x["text"], x["ch_id"]))
+    none = F.array().cast("array<struct<seg_no: int, seg_id: string, kind: string, text: string, ch_id: string>>")
+    return docs.select(F.col(book).alias("book_id"), F.concat(meta, F.coalesce(own, none)).alias("segs"))
+
 
 def chapter_id(ch_no: Column | str) -> Column:
     return F.format_string("c%03d", T.col(ch_no))
@@ -50,13 +81,13 @@ def chapter_id(ch_no: Column | str) -> Column:
 
 def read_txt(docs: DataFrame, book: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Chapters (book_id, ch_no, ch_id, title) and blocks (book_id, ch_no, ch_id, pos, type, level, text and the other fields, null)."""
+    chapters = docs.select(F.col(book).alias("book_id"), F.posexplode(chaptered(F.col(text))).alias("k", "c")).withColumn("ch_no", F.col("k") + 1)
+    chapters = chapters.select("book_id", "ch_no", chapter_id("ch_no").alias("ch_id"), F.when(F.col("c.titled"), F.element_at("c.lines", 1)).otherwise("").alias("title"))
     found = lines(docs, book, text).withColumn("ch_id", chapter_id("ch_no"))
     heading = is_heading(F.col("line"))
     blocks = found.where("at >= 0").select(
         "book_id", "ch_no", "ch_id", F.col("at").alias("pos"),
-        F.when(heading, "heading").otherwise("para").alias("type"), F.when(heading, 2).alias("level"), T.escape_marks("line").alias("text"),
+        F.when(heading, "heading").otherwise("para").alias("type"), F.when(heading, LEVEL).alias("level"), T.escape_marks("line").alias("text"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("ordered", "boolean"), ("depth", "int"), ("rows", "array<array<string>>"), ("header", "boolean"), ("file", "string"), ("alt", "string"), ("labels", "array<string>"))),
     )
-    titled = found.where("at = -1").select("book_id", "ch_no", "ch_id", F.col("line").alias("title"))
-    untitled = found.where("ch_no = 1 and at = 0").join(titled.where("ch_no = 1").select("book_id"), "book_id", "left_anti")
-    return titled.unionByName(untitled.select("book_id", "ch_no", "ch_id", F.lit("").alias("title"))), blocks
+    return chapters, blocks
