@@ -50,7 +50,8 @@ def chaptered(text: Column) -> Column:
 
 def lines(docs: DataFrame, book: str = "doc_id", text: str = "text") -> DataFrame:
     """book_id, ch_no, at (place in the chapter, from 0; -1 for its title), line of each block, as chaptered() tells."""
-    rows = docs.select(F.col(book).alias("book_id"), F.posexplode(chaptered(F.col(text))).alias("k", "c"))
+    # Outer: else Spark puts a filter on the array's size in front, and computes the array twice.
+    rows = docs.select(F.col(book).alias("book_id"), F.posexplode_outer(chaptered(F.col(text))).alias("k", "c")).where("k is not null")
     rows = rows.select("book_id", (F.col("k") + 1).alias("ch_no"), F.col("c.titled").alias("titled"), F.posexplode("c.lines").alias("i", "line"))
     return rows.select("book_id", "ch_no", (F.col("i") - F.col("titled").cast("int")).alias("at"), "line")
 
@@ -81,7 +82,7 @@ def chapter_id(ch_no: Column | str) -> Column:
 
 def read_txt(docs: DataFrame, book: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Chapters (book_id, ch_no, ch_id, title) and blocks (book_id, ch_no, ch_id, pos, type, level, text and the other fields, null)."""
-    chapters = docs.select(F.col(book).alias("book_id"), F.posexplode(chaptered(F.col(text))).alias("k", "c")).withColumn("ch_no", F.col("k") + 1)
+    chapters = docs.select(F.col(book).alias("book_id"), F.posexplode_outer(chaptered(F.col(text))).alias("k", "c")).where("k is not null").withColumn("ch_no", F.col("k") + 1)
     chapters = chapters.select("book_id", "ch_no", chapter_id("ch_no").alias("ch_id"), F.when(F.col("c.titled"), F.element_at("c.lines", 1)).otherwise("").alias("title"))
     found = lines(docs, book, text).withColumn("ch_id", chapter_id("ch_no"))
     heading = is_heading(F.col("line"))
