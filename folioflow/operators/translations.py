@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,11 @@ def by_file(entries: DataFrame) -> DataFrame:
     `=` wins over texts of the same file, else the last text wins. A text for an id that the file had before doubles it.
     """
     segs = entries.where("entry_type = 'seg'")
-    again = F.row_number().over(Window.partitionBy("book_id", "file", "key").orderBy("ord")) > 1
-    rows = segs.withColumn("_again", again).groupBy("book_id", "file", "n", F.col("key").alias("seg_id"))
-    rows = rows.agg(F.max("is_keep").alias("is_keep"), F.max_by("body", F.struct(~F.col("is_keep"), "ord")).alias("text"), F.max(F.col("_again") & ~F.col("is_keep")).alias("doubled"))
+    rows = segs.groupBy("book_id", "file", "n", F.col("key").alias("seg_id"))
+    # Aggregates only: a window would move and sort all texts once more.
+    own = F.when(~F.col("is_keep"), F.col("ord"))
+    doubled = F.coalesce(F.max(own) > F.min("ord"), F.lit(False)) | (F.count(own) > 1)
+    rows = rows.agg(F.max("is_keep").alias("is_keep"), F.max_by("body", F.struct(~F.col("is_keep"), "ord")).alias("text"), doubled.alias("doubled"))
     return rows.withColumn("text", F.when(~F.col("is_keep"), F.col("text")))
 
 

@@ -1,8 +1,14 @@
 """What keeps the work per book the same as tables grow: one pass over texts, no group of its own in Python for each book."""
 
+import re
+import sys
+
+import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import chunks, lifecycle, segments, terms
+from folioflow import queries
+from folioflow.functions import inline
+from folioflow.operators import chunks, lifecycle, segments, terms, translations
 from folioflow.sources import txt
 
 TEXTS = [
@@ -57,3 +63,11 @@ def test_glossary_and_keep_lists_of_all_books(spark, monkeypatch):
     assert sorted(found.drop("text").collect()) == sorted(terms.glossary_hits(segs, shared).collect()) == sorted(terms.glossary_hits(segs, own).collect())
     keep = spark.createDataFrame([("LINE",), ("nd",)], "term string")
     assert {tuple(r) for r in terms.keep_hits(segs, keep).collect()} == {(1, "a", "LINE"), (1, "a", "nd"), (2, "b", "nd")}
+
+
+def test_by_file_moves_texts_once(spark):
+    schema = "book_id int, file string, n int, ord int, entry_type string, key string, body string, is_keep boolean"
+    rows = [(1, "f", 1, 0, "seg", "a", "x", False), (1, "f", 1, 1, "seg", "a", "y", False), (1, "f", 1, 2, "seg", "b", None, True), (1, "f", 1, 3, "seg", "b", "z", False), (1, "f", 1, 4, "seg", "c", "u", False), (1, "f", 1, 5, "seg", "c", None, True), (1, "f", 1, 6, "seg", "d", None, True)]
+    said = translations.by_file(spark.createDataFrame(rows, schema))
+    assert "Window" not in plan_of(said)
+    assert {r.seg_id: (r.text, r.is_keep, r.doubled) for r in said.collect()} == {"a": ("y", False, True), "b": (None, True, True), "c": (None, True, False), "d": (None, True, False)}
