@@ -45,10 +45,12 @@ def render(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFram
     """book_id, text of books (title, author), chapters (title) and blocks (with sub, as translated_blocks() gives them)."""
     plain = F.when(inline.unmarked(F.col("alt")), F.col("alt")).otherwise(F.regexp_replace("alt", r"\\([*`\[\]\\])", "$1"))
     own = blocks.withColumn("alt_plain", plain).select("book_id", "ch_no", F.col("pos").alias("pos"), "sub", block_text().alias("line")).where("line is not null")
-    heads = chapters.select("book_id", "ch_no", F.lit(-1).alias("pos"), F.lit(0).alias("sub"), F.when(F.col("title") != "", F.concat(F.lit("## "), "title", F.lit("\n"))).alias("line")).where("line is not null")
-    ends = chapters.select("book_id", "ch_no", F.lit(2**31 - 1).alias("pos"), F.lit(0).alias("sub"), F.lit("").alias("line"))
+    # A chapter's title and its end in one pass over the chapters.
+    edge = lambda pos, line: F.struct(F.lit(pos).alias("pos"), F.lit(0).alias("sub"), line.alias("line"))
+    title = F.when(F.col("title") != "", F.concat(F.lit("## "), "title", F.lit("\n")))
+    edges = chapters.select("book_id", "ch_no", F.inline(F.array(edge(-1, title), edge(2**31 - 1, F.lit(""))))).where("line is not null")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ch_no", "pos", "sub", "line"))), lambda x: x["line"])
-    body = own.unionByName(heads).unionByName(ends).groupBy("book_id").agg(F.array_join(lines, "\n").alias("body"))
+    body = own.unionByName(edges).groupBy("book_id").agg(F.array_join(lines, "\n").alias("body"))
     author = F.when(F.coalesce("author", F.lit("")) != "", F.concat("author", F.lit("\n\n"))).otherwise("")
     text = F.concat(F.lit("# "), "title", F.lit("\n\n"), author, F.coalesce("body", F.lit("")))
     # A list ends with a blank line.

@@ -49,11 +49,10 @@ def chaptered(text: Column) -> Column:
 
 
 def lines(docs: DataFrame, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """book_id, ch_no, at (place in the chapter, from 0; -1 for its title), line of each block, as chaptered() tells."""
+    """book_id, ch_no, titled, i (place in the chapter, from 0, its title included), line of each block, as chaptered() tells."""
     # Outer: else Spark puts a filter on the array's size in front, and computes the array twice.
     rows = docs.select(F.col(book).alias("book_id"), F.posexplode_outer(chaptered(F.col(text))).alias("k", "c")).where("k is not null")
-    rows = rows.select("book_id", (F.col("k") + 1).alias("ch_no"), F.col("c.titled").alias("titled"), F.posexplode("c.lines").alias("i", "line"))
-    return rows.select("book_id", "ch_no", (F.col("i") - F.col("titled").cast("int")).alias("at"), "line")
+    return rows.select("book_id", (F.col("k") + 1).alias("ch_no"), F.col("c.titled").alias("titled"), F.posexplode("c.lines").alias("i", "line"))
 
 
 def book_segments(docs: DataFrame, title: Column, label: str, book: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,12 +81,16 @@ def chapter_id(ch_no: Column | str) -> Column:
 
 def read_txt(docs: DataFrame, book: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Chapters (book_id, ch_no, ch_id, title) and blocks (book_id, ch_no, ch_id, pos, type, level, text and the other fields, null)."""
-    chapters = docs.select(F.col(book).alias("book_id"), F.posexplode_outer(chaptered(F.col(text))).alias("k", "c")).where("k is not null").withColumn("ch_no", F.col("k") + 1)
-    chapters = chapters.select("book_id", "ch_no", chapter_id("ch_no").alias("ch_id"), F.when(F.col("c.titled"), F.element_at("c.lines", 1)).otherwise("").alias("title"))
-    found = lines(docs, book, text).withColumn("ch_id", chapter_id("ch_no"))
-    heading = is_heading(F.col("line"))
-    blocks = found.where("at >= 0").select(
-        "book_id", "ch_no", "ch_id", F.col("at").alias("pos"),
+    return tables(lines(docs, book, text))
+
+
+def tables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_txt() of lines(), which may have been written first: then the texts are read once for both tables."""
+    found = found.withColumn("ch_id", chapter_id("ch_no"))
+    chapters = found.where("i = 0").select("book_id", "ch_no", "ch_id", F.when(F.col("titled"), F.col("line")).otherwise("").alias("title"))
+    heading, at = is_heading(F.col("line")), F.col("i") - F.col("titled").cast("int")
+    blocks = found.where(at >= 0).select(
+        "book_id", "ch_no", "ch_id", at.alias("pos"),
         F.when(heading, "heading").otherwise("para").alias("type"), F.when(heading, LEVEL).alias("level"), T.escape_marks("line").alias("text"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("ordered", "boolean"), ("depth", "int"), ("rows", "array<array<string>>"), ("header", "boolean"), ("file", "string"), ("alt", "string"), ("labels", "array<string>"))),
     )

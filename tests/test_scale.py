@@ -71,3 +71,18 @@ def test_by_file_moves_texts_once(spark):
     said = translations.by_file(spark.createDataFrame(rows, schema))
     assert "Window" not in plan_of(said)
     assert {r.seg_id: (r.text, r.is_keep, r.doubled) for r in said.collect()} == {"a": ("y", False, True), "b": (None, True, True), "c": (None, True, False), "d": (None, True, False)}
+
+
+@pytest.mark.parametrize("name", ["markdown_books", "html_books", "extraction_report"])
+def test_texts_of_books_are_not_read_again_by_each_step(spark, tmp_path, name):
+    docs_of(spark).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plan_of(queries.QUERIES[name](spark, str(tmp_path)))
+    assert "ReadSchema" in found and not re.search(r"ReadSchema: struct<doc_id:bigint,text", found)
+
+
+def test_lines_written_first_give_the_same_books(spark, tmp_path):
+    docs = docs_of(spark)
+    txt.lines(docs).write.parquet(f"{tmp_path}/lines")
+    for own, written in zip(txt.read_txt(docs), txt.tables(spark.read.parquet(f"{tmp_path}/lines")), strict=True):
+        assert sorted(map(str, own.collect())) == sorted(map(str, written.collect()))
+    assert [tuple(r)[1:] for r in txt.read_txt(docs)[0].where("book_id = 5").orderBy("ch_no").collect()] == [(1, "c001", ""), (2, "c002", "PART ONE")]
