@@ -86,3 +86,21 @@ def test_lines_written_first_give_the_same_books(spark, tmp_path):
     for own, written in zip(txt.read_txt(docs), txt.tables(spark.read.parquet(f"{tmp_path}/lines")), strict=True):
         assert sorted(map(str, own.collect())) == sorted(map(str, written.collect()))
     assert [tuple(r)[1:] for r in txt.read_txt(docs)[0].where("book_id = 5").orderBy("ch_no").collect()] == [(1, "c001", ""), (2, "c002", "PART ONE")]
+
+
+def calls_of(work):
+    """How many functions a piece of work calls."""
+    counted = [0]
+    sys.setprofile(lambda frame, event, arg: counted.__setitem__(0, counted[0] + (event in ("call", "c_call"))))
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return counted[0]
+
+
+def test_markup_is_not_read_by_the_character():
+    text = "*it* and " + "plain words " * 1000 + "`x` [l](u)"
+    assert calls_of(lambda: inline.parse(text)) < 1000
+    assert "".join(r.text for r in inline.parse(text)) == "it and " + "plain words " * 1000 + "x l"
+    assert inline.to_html("plain words") == "plain words" and inline.parse(None) == []
