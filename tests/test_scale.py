@@ -127,3 +127,11 @@ def test_report_counts_blocks_once(spark):
     rows = {r.book_id: r.report for r in report.collect()}
     assert rows[1].startswith("- chapters: 3 | blocks: para 2, item 2, heading 1\n") and rows[1].endswith("## Chapters\n- c001: (untitled) - 2 blocks\n- c002: Two - 3 blocks\n- c003: Three - 0 blocks")
     assert rows[2].startswith("- chapters: 1 | blocks: none\n") and rows[2].endswith("- c001: One - 0 blocks") and rows[3].startswith("- chapters: 0 | blocks: none\n")
+
+
+def test_directions_are_not_told_by_the_character():
+    text = "مرحبا " + "plain words (v2) C# " * 500 + "عالم"
+    inline.directions("a")  # what is looked up is made once for a worker
+    assert calls_of(lambda: inline.split_rtl(text)) < len(text)
+    assert inline.split_rtl(text) == [("مرحبا ", True), (text[6:-5], False), (" عالم", True)]
+    assert inline.directions("C# (x)") == [False] * 6 and inline.split_rtl(None) == []
